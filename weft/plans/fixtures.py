@@ -48,8 +48,10 @@ def events_with_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def step_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Step log: run = user_id, step = order by (ts, event_id) within the run,
-    group = event_id % 3, status from event_type (``error`` → error)."""
+    """Step log: run = user_id, steps ordered by (ts, event_id) within the run,
+    group = event_id % 3, recorded status from event_type, an own condition from
+    ``props.k`` (false below 10, true from 90, none between) and the executed
+    outcome (``error`` events fail)."""
     ev = read_table(spark, sf_dir, "events")
     return ev.selectExpr(
         "user_id as run_id",
@@ -58,12 +60,25 @@ def step_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('g', cast(event_id % 3 as string)) as group_name",
         "case event_type when 'error' then 'error' when 'view' then 'skipped' "
         "when 'click' then 'pending' else 'success' end as status",
+        "case when event_type = 'error' then 'error' else 'success' end as outcome",
+        "case when get_json_object(props, '$.k')::int < 10 then false "
+        "when get_json_object(props, '$.k')::int >= 90 then true end as cond",
+        "case when event_type = 'error' then concat('step ', event_id, ' failed: k=', "
+        "get_json_object(props, '$.k')) end as error",
         "cast(round(value) as int) as row_count",
         "event_type = 'purchase' as is_output",
-        "(props:k)::int as k",
     )
 
 
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run history rows: id = user_id, flow derived from the id, status = event_type,
+    seq = event_id, duration from value."""
+    ev = read_table(spark, sf_dir, "events")
+    return ev.selectExpr("user_id as id", "concat('flow_', cast(user_id % 4 as string)) as flow",
+                         "event_type as status", "ts", "event_id as seq",
+                         "cast(round(value) as int) as duration")
+
+
 def upsert_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """target = orders with even key; source = orders with key % 3 = 0, price × 2."""
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
