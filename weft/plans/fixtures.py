@@ -80,9 +80,33 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """target = orders with even key; source = orders with key % 3 = 0, price × 2."""
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    target = o.where(F.col("o_orderkey") % 2 == 0)
-    source = (o.where(F.col("o_orderkey") % 3 == 0)
+    """Keyed merge inputs from orders: the target holds orders dated before 1999,
+    the change set holds orders dated from 1998 on with the price doubled, so
+    1998 keys are updates and later keys are inserts."""
+    o = read_table(spark, sf_dir, "orders")
+    cols = ["o_orderkey", "o_orderstatus", "o_totalprice"]
+    target = o.where(F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz")).select(*cols)
+    source = (o.where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).select(*cols)
               .withColumn("o_totalprice", F.col("o_totalprice") * 2))
     return target, source
+
+
+def batch_responses(spark: SparkSession, sf_dir: str, batch_size: int = 500) -> DataFrame:
+    """Multipart batch responses for orders planned in key order: one text per
+    batch; a record fails with HTTP 400 when its key is a multiple of 7."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey")
+    from weft.operators.sync import batch_plan
+
+    plan = batch_plan(o, "o_orderkey", batch_size)
+    part = F.concat(
+        F.lit("Content-Type: application/http\nContent-ID: "), (F.col("_batch_pos") + 1).cast("string"),
+        F.lit("\n\nHTTP/1.1 "),
+        F.when(F.col("o_orderkey") % 7 == 0,
+               F.concat(F.lit('400 Bad Request\nContent-Type: application/json\n\n{"error":{"code":"0x1",'
+                              '"message":"Record '), F.col("o_orderkey").cast("string"), F.lit(' rejected"}}')))
+        .otherwise(F.lit("204 No Content")),
+        F.lit("\n--batchresponse\n"))
+    grouped = (plan.groupBy("_batch")
+               .agg(F.sort_array(F.collect_list(F.struct("_batch_pos", part.alias("p")))).alias("_r")))
+    return grouped.select("_batch", F.concat(F.lit("--batchresponse\n"),
+                                             F.array_join(F.transform("_r", lambda r: r["p"]), "")).alias("response"))
