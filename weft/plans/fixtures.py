@@ -110,3 +110,33 @@ def batch_responses(spark: SparkSession, sf_dir: str, batch_size: int = 500) ->
                .agg(F.sort_array(F.collect_list(F.struct("_batch_pos", part.alias("p")))).alias("_r")))
     return grouped.select("_batch", F.concat(F.lit("--batchresponse\n"),
                                              F.array_join(F.transform("_r", lambda r: r["p"]), "")).alias("response"))
+
+
+# Request schema of the validation fixture (fixed values, in the shape of the API sample).
+REQUEST_SCHEMA = {
+    "type": "object",
+    "properties": {
+        "query": {"type": "object", "properties": {"name": {"type": "string", "minLength": 1}},
+                  "required": ["name"]},
+        "body": {"type": "object", "properties": {"age": {"type": "integer", "minimum": 0, "maximum": 150}}},
+        "tags": {"type": "array", "items": {"type": "string"}},
+    },
+    "required": ["query"],
+}
+
+
+def request_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request per event: valid (purchase; an extra numeric tag when k > 50),
+    wrong type (click), missing required (view), empty name and negative age
+    (signup), malformed text (error)."""
+    ev = read_table(spark, sf_dir, "events")
+    return ev.selectExpr("event_id as request_id", "'POST' as method", """
+        case event_type
+          when 'purchase' then concat('{"query":{"name":"u', user_id, '"},"body":{"age":',
+                                      get_json_object(props, '$.k')::int, '},"tags":["t"',
+                                      case when get_json_object(props, '$.k')::int > 50 then concat(',', get_json_object(props, '$.k')::int) else '' end, ']}')
+          when 'click' then concat('{"query":{"name":', get_json_object(props, '$.k')::int, '},"body":{"age":', get_json_object(props, '$.k')::int, '}}')
+          when 'view' then concat('{"body":{"age":', get_json_object(props, '$.k')::int, '}}')
+          when 'signup' then concat('{"query":{"name":""},"body":{"age":', get_json_object(props, '$.k')::int - 50, '}}')
+          else concat('{"query":{"name":"u', user_id, '"')
+        end as doc""")
