@@ -31,5 +31,5 @@ def query(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from weft.plans import (  # noqa: F401
-        q_frames, q_nested, q_runs, q_slice, q_sources, q_sql, q_streaming, q_sync, q_validate,
+        q_compose, q_frames, q_nested, q_runs, q_slice, q_sources, q_sql, q_streaming, q_sync, q_validate,
     )
