@@ -88,7 +88,7 @@ def _price_partials(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 @query("grouped_pandas", """
-select o_custkey, count(*) as n_orders, round(avg(o_totalprice), 2) + 0.0 as mean_price,
+select o_custkey, count(*) as n_orders, round(sum(o_totalprice), 2) + 0.0 as total_price,
        round(max(o_totalprice) - min(o_totalprice), 2) + 0.0 as price_range, max(o_totalprice) as max_price
 from orders group by o_custkey
 """)
@@ -98,7 +98,7 @@ def q_grouped_pandas(spark, sf_dir):
     return frames.grouped_pandas_agg(
         o, "o_custkey", _price_partials, "o_custkey long, n long, s double, mn double, mx double",
         merge={"n": F.sum("n"), "s": F.sum("s"), "mn": F.min("mn"), "mx": F.max("mx")},
-        finish={"n_orders": n, "mean_price": F.round(s / n, 2) + 0.0,
+        finish={"n_orders": n, "total_price": F.round(s, 2) + 0.0,
                 "price_range": F.round(F.col("mx") - F.col("mn"), 2) + 0.0, "max_price": F.col("mx")})
 
 
