@@ -1,3 +1,163 @@
-"""Queries (filled in below)."""
+"""Streaming queries (T1–T6): each runs a stream over the given files with
+``availableNow`` and returns what the stream wrote."""
 
-from weft.plans.registry import query  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from weft.plans.fixtures import REQUEST_SCHEMA, nested_conversations
+from weft.plans.q_nested import CHILD_TURNS_SQL
+from weft.plans.q_sync import _O, _S, _T
+from weft.plans.q_validate import _EXPECTED
+from weft.plans.registry import query
+from weft.sinks.files import scratch_dir
+from weft.sources.files import read_table
+from weft.streaming import streams
+
+EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def _events_stream(spark, sf_dir, max_files=None):
+    return streams.file_stream(spark, sf_dir, EVENTS_SCHEMA, glob="events.parquet", max_files=max_files)
+
+
+@query("stream_validate", _EXPECTED + """
+select event_id as request_id, len(errs)::int as n_errors, errs[1] as first_error from e
+""")
+def q_stream_validate(spark, sf_dir):
+    out, ckpt = streams.scratch(spark, "stream_validate")
+    ev = _events_stream(spark, sf_dir)
+    k = "get_json_object(props, '$.k')::int"
+    requests = ev.selectExpr("event_id as request_id", f"""
+        case event_type
+          when 'purchase' then concat('{{"query":{{"name":"u', user_id, '"}},"body":{{"age":', {k},
+                                      '}},"tags":["t"', case when {k} > 50 then concat(',', {k}) else '' end, ']}}')
+          when 'click' then concat('{{"query":{{"name":', {k}, '}},"body":{{"age":', {k}, '}}}}')
+          when 'view' then concat('{{"body":{{"age":', {k}, '}}}}')
+          when 'signup' then concat('{{"query":{{"name":""}},"body":{{"age":', {k} - 50, '}}}}')
+          else concat('{{"query":{{"name":"u', user_id, '"')
+        end as doc""")
+    streams.stream_validate(requests, REQUEST_SCHEMA, "doc", out, ckpt)
+    res = spark.read.parquet(out)
+    return res.select("request_id", F.size("errors").alias("n_errors"), F.get(F.col("errors"), 0).alias("first_error"))
+
+
+@query("stream_latest_state", """
+select user_id as id, arg_max(event_type, (ts, event_id)) as status, max(ts) as ts,
+       max(round(value)::int) as duration
+from events group by 1
+""")
+def q_stream_latest_state(spark, sf_dir):
+    out, ckpt = streams.scratch(spark, "stream_state")
+    ev = _events_stream(spark, sf_dir).selectExpr(
+        "user_id as id", "event_type as status", "ts", "event_id as seq", "cast(round(value) as int) as duration")
+    streams.stream_latest_state(ev, ["id"], "status", ["ts", "seq"], out, ckpt, extra_max=["duration"])
+    return streams.read_versioned(spark, out)
+
+
+@query("stream_shred", CHILD_TURNS_SQL)
+def q_stream_shred(spark, sf_dir):
+    """Nested documents dropped as JSON files, shredded batch by batch."""
+    drop = scratch_dir(spark, "drop") + "/conversations"
+    nested_conversations(spark, sf_dir).repartition(4).write.json(drop)
+    out, ckpt = streams.scratch(spark, "stream_shred")
+    schema = "conv_id bigint, turns array<struct<turn: bigint, role: string, text: string>>"
+    docs = streams.file_stream(spark, drop, schema, fmt="json", max_files=1)
+    streams.stream_shred(docs, "conv", ["conv_id"], out, ckpt)
+    return spark.read.parquet(f"{out}/conv_turns").drop("_batch")
+
+
+@query("stream_upsert", f"""
+{_O} where {_T} and not ({_S})
+union all
+select o_orderkey, o_orderstatus, o_totalprice * 2 as o_totalprice from orders where {_S}
+""")
+def q_stream_upsert(spark, sf_dir):
+    """A change stream (orders from 1998 on, price doubled, split over several
+    files) upserted batch by batch into the target table."""
+    o = read_table(spark, sf_dir, "orders")
+    cols = ["o_orderkey", "o_orderstatus", "o_totalprice"]
+    out, ckpt = streams.scratch(spark, "stream_upsert")
+    streams.seed_versioned(o.where(F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz"))
+                           .select(*cols), out)
+    drop = scratch_dir(spark, "drop") + "/changes"
+    (o.where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
+     .select(*cols, F.col("o_orderdate").alias("changed_at"))
+     .withColumn("o_totalprice", F.col("o_totalprice") * 2)
+     .repartition(4).write.parquet(drop))
+    changes = streams.file_stream(spark, drop, "o_orderkey bigint, o_orderstatus string, o_totalprice double, "
+                                               "changed_at timestamp_ntz", max_files=1)
+    streams.stream_upsert(changes, ["o_orderkey"], "changed_at", out, ckpt)
+    return streams.read_versioned(spark, out).select(*cols)
+
+
+def _windowed(spark, sf_dir, window_col, key="event_type", delay="0 seconds"):
+    out, ckpt = streams.scratch(spark, "stream_window")
+    ev = streams.with_event_time(_events_stream(spark, sf_dir)).withWatermark("ts", delay)
+    agg = ev.groupBy(window_col.alias("w"), key).agg(F.count(F.lit(1)).alias("n"),
+                                                     F.round(F.sum("value"), 2).alias("total"))
+    res = agg.select(key, F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                     F.date_format("w.end", "yyyy-MM-dd HH:mm:ss").alias("window_end"), "n",
+                     (F.col("total") + 0.0).alias("total"))
+    streams.run_to_parquet(res, out, ckpt)
+    return spark.read.parquet(out)
+
+
+# windows closed by the final watermark (delay 0): end <= latest event time
+_MAXTS = "(select max(ts) from events)"
+
+
+@query("stream_tumbling", f"""
+select event_type, strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H:%M:%S') as window_start,
+       strftime(time_bucket(interval 1 hour, ts) + interval 1 hour, '%Y-%m-%d %H:%M:%S') as window_end,
+       count(*) as n, round(sum(value), 2) + 0.0 as total
+from events
+where time_bucket(interval 1 hour, ts) + interval 1 hour <= {_MAXTS}
+group by 1, 2, 3
+""")
+def q_stream_tumbling(spark, sf_dir):
+    return _windowed(spark, sf_dir, F.window("ts", "1 hour"))
+
+
+@query("stream_sliding", f"""
+with w as (select event_type, value, time_bucket(interval 15 minute, ts) - k * interval 15 minute as ws
+           from events, range(0, 4) r(k))
+select event_type, strftime(ws, '%Y-%m-%d %H:%M:%S') as window_start,
+       strftime(ws + interval 1 hour, '%Y-%m-%d %H:%M:%S') as window_end,
+       count(*) as n, round(sum(value), 2) + 0.0 as total
+from w where ws + interval 1 hour <= {_MAXTS}
+group by 1, 2, 3
+""")
+def q_stream_sliding(spark, sf_dir):
+    return _windowed(spark, sf_dir, F.window("ts", "1 hour", "15 minutes"))
+
+
+@query("stream_session", f"""
+with g as (select user_id, ts, value,
+                  case when lag(ts) over (partition by user_id order by ts) > ts - interval 30 minute
+                       then 0 else 1 end as new_session from events),
+     s as (select *, sum(new_session) over (partition by user_id order by ts) as sid from g)
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as window_start,
+       strftime(max(ts) + interval 30 minute, '%Y-%m-%d %H:%M:%S') as window_end,
+       count(*) as n, round(sum(value), 2) + 0.0 as total
+from s group by user_id, sid
+having max(ts) + interval 30 minute <= {_MAXTS}
+""")
+def q_stream_session(spark, sf_dir):
+    return _windowed(spark, sf_dir, F.session_window("ts", "30 minutes"), key="user_id")
+
+
+@query("stream_dedup", "select event_id, user_id, event_type from events")
+def q_stream_dedup(spark, sf_dir):
+    """Events delivered twice (the clicks replayed in a second file) are dropped
+    by key within the watermark."""
+    drop = scratch_dir(spark, "drop") + "/events"
+    ev = read_table(spark, sf_dir, "events")
+    ev.write.parquet(f"{drop}/part=1")
+    ev.where(F.col("event_type") == "click").write.parquet(f"{drop}/part=2")
+    out, ckpt = streams.scratch(spark, "stream_dedup")
+    stream = streams.with_event_time(streams.file_stream(spark, drop, EVENTS_SCHEMA, max_files=1))
+    dedup = (stream.withWatermark("ts", "1 hour").dropDuplicates(["event_id", "ts"])
+             .select("event_id", "user_id", "event_type"))
+    streams.run_to_parquet(dedup, out, ckpt)
+    return spark.read.parquet(out)
