@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,10 +41,27 @@ def load(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def list_tables(spark: SparkSession) -> DataFrame:
-    """Saved/published tables as a DataFrame (name, is_temporary)."""
-    rows = [(t.name, bool(t.isTemporary)) for t in spark.catalog.listTables()]
-    return spark.createDataFrame(rows, "name string, is_temporary boolean")
+def list_tables(spark: SparkSession, names=None, with_counts: bool = False) -> DataFrame:
+    """Saved/published tables as a DataFrame (name, is_temporary[, n_rows]).
+
+    With ``with_counts`` every listed table is counted in one job: a union of
+    per-table global aggregates, each a partial count per scan task.
+    """
+    listed = [(t.name, bool(t.isTemporary)) for t in spark.catalog.listTables()
+              if names is None or t.name in names]
+    if not with_counts:
+        return spark.createDataFrame(listed, "name string, is_temporary boolean")
+    if not listed:
+        return spark.createDataFrame([], "name string, is_temporary boolean, n_rows bigint")
+    parts = [spark.table(n).agg(F.count(F.lit(1)).alias("n_rows"))
+             .select(F.lit(n).alias("name"), F.lit(tmp).alias("is_temporary"), "n_rows") for n, tmp in listed]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def list_databases(spark: SparkSession) -> DataFrame:
+    """Databases the catalog knows, as a DataFrame (name, description)."""
+    rows = [(d.name, d.description) for d in spark.catalog.listDatabases()]
+    return spark.createDataFrame(rows, "name string, description string")
 
 
 def register_folder(spark: SparkSession, root: str, names=None) -> list[str]:
@@ -110,11 +128,21 @@ def lineage_stamp(df: DataFrame, git_hash: str, run_id: str, step_id: str) -> Da
     return df.withColumn("_lineage", stamp)
 
 
-def lineage_log(df: DataFrame, output: str, namespace: str = "weft") -> DataFrame:
-    """Inputs/outputs of a step as rows (from the plan's input files, not the data)."""
-    spark = df.sparkSession
-    rows = [("input", namespace, f) for f in df.inputFiles()] + [("output", namespace, output)]
-    return spark.createDataFrame(rows, "direction string, namespace string, name string")
+def lineage_log(step_inputs: dict[str, DataFrame], output_name: str, output: DataFrame,
+                namespace: str = "weft") -> DataFrame:
+    """Input/output lineage of one step as rows: direction, table, files, row count.
+
+    File lists come from the plans (``inputFiles``); the row counts are one
+    Spark job over a union of per-table counts.
+    """
+    parts = []
+    for direction, name, df in [*(("input", n, d) for n, d in step_inputs.items()),
+                                ("output", output_name, output)]:
+        files = len(df.inputFiles())
+        parts.append(df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(direction).alias("direction"), F.lit(namespace).alias("namespace"), F.lit(name).alias("name"),
+            F.lit(files).alias("n_files"), "n_rows"))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def shared_columns(columns: DataFrame) -> DataFrame:

@@ -71,3 +71,17 @@ def grouped_pandas_agg(df: DataFrame, keys, partial: Callable, partial_schema: s
     parts = df.mapInPandas(run, partial_schema)
     merged = parts.groupBy(*keys).agg(*[c.alias(n) for n, c in merge.items()])
     return merged.select(*keys, *[c.alias(n) for n, c in finish.items()])
+
+
+def grouped_udaf(df: DataFrame, keys, udaf, args, merge: Callable[[Column], Column], name: str) -> DataFrame:
+    """A grouped-aggregate pandas UDF, run in two phases so no group is unbounded.
+
+    Phase one applies ``udaf`` per key *and* input partition (a group never
+    holds more than one scan split's rows, however hot the key); phase two
+    merges the partials with a built-in aggregate (``merge``, e.g. ``F.sum``),
+    which Spark combines map-side. The UDAF must be decomposable that way.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    split = df.withColumn("_split", F.spark_partition_id())
+    partials = split.groupBy(*keys, "_split").agg(udaf(*args).alias("_partial"))
+    return partials.groupBy(*keys).agg(merge(F.col("_partial")).alias(name))

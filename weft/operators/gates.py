@@ -70,7 +70,10 @@ def empty_like(df: DataFrame) -> DataFrame:
 def gate_passes(metrics: DataFrame, predicate, on_error: str = "run") -> bool:
     """Eager variant: one row to the driver, so a caller can skip a write entirely."""
     pred = _predicate(predicate, on_error, metrics.columns)
-    return bool(metrics.select(pred.alias("p")).first()["p"])
+    try:
+        return bool(metrics.select(pred.alias("p")).first()["p"])
+    except AnalysisException as exc:
+        return bool(metrics.select(_broken(predicate, on_error, exc).alias("p")).first()["p"])
 
 
 def evaluate_rules(context: DataFrame, rules: dict[str, str], on_error: str = "run") -> DataFrame:

@@ -140,3 +140,17 @@ def stop_after_output(steps: DataFrame, run: str = "run_id", order=("ts", "event
     cut = steps.where(F.col(is_output)).groupBy(run).agg(F.min(key).alias("_cut"))
     return (steps.join(cut, run, "left")
             .where(F.col("_cut").isNull() | (key <= F.col("_cut"))).drop("_cut"))
+
+
+def dry_run(steps: DataFrame, rules: dict[str, str], group: str = "group_name") -> DataFrame:
+    """Step counts per group and planned action (``run`` / ``skip``) from run-when
+    rules evaluated without executing any step; a rule that cannot be evaluated
+    fails open, as in a real run."""
+    from weft.operators.gates import evaluate_rules
+
+    planned = evaluate_rules(steps, rules, on_error="run")
+    runs_all = F.lit(True)
+    for name in rules:
+        runs_all = runs_all & F.col(name)
+    return (planned.groupBy(group, F.when(runs_all, "run").otherwise("skip").alias("action"))
+            .agg(F.count(F.lit(1)).alias("n_steps")))

@@ -119,6 +119,25 @@ def q_udf_scalar(spark, sf_dir):
                      _discounted()("l_extendedprice", "l_discount").alias("net"))
 
 
+def _net_revenue():
+    @pandas_udf("double")
+    def net_revenue(price: pd.Series, discount: pd.Series) -> float:
+        return float((price * (1.0 - discount)).sum())
+    return net_revenue
+
+
+@query("udaf_grouped", """
+select l_returnflag, l_linestatus, round(sum(l_extendedprice * (1 - l_discount)), 2) + 0.0 as net_revenue
+from lineitem group by 1, 2
+""")
+def q_udaf_grouped(spark, sf_dir):
+    """A grouped-aggregate pandas UDF (per key and scan split), merged with a sum."""
+    li = read_table(spark, sf_dir, "lineitem")
+    out = frames.grouped_udaf(li, ["l_returnflag", "l_linestatus"], _net_revenue(),
+                              ["l_extendedprice", "l_discount"], F.sum, "net_revenue")
+    return out.withColumn("net_revenue", F.round("net_revenue", 2) + 0.0)
+
+
 @udtf(returnType="line_no int, line string")
 class _Lines:
     """Table function: one output row per line of a text."""

@@ -150,3 +150,16 @@ where c.cut is null or e.ts <= c.cut
 """)
 def q_stop_after_output(spark, sf_dir):
     return runs.stop_after_output(step_results(spark, sf_dir)).select("run_id", "event_id")
+
+
+@query("dry_run_rules", """
+select 'g' || (event_id % 3)::varchar as group_name,
+       case when (props::json->>'k')::int < 10 then 'skip' else 'run' end as action,
+       count(*) as n_steps
+from events group by 1, 2
+""")
+def q_dry_run_rules(spark, sf_dir):
+    """Plan listing without running anything: each step's own run-when rule is
+    evaluated with an empty context (no outputs yet), then counted per group."""
+    steps = step_results(spark, sf_dir).select("group_name", "cond")
+    return runs.dry_run(steps, {"will_run": "coalesce(cond, true)"}, group="group_name")

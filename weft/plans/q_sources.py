@@ -105,3 +105,31 @@ def q_custom_source(spark, sf_dir):
     """The connector contract: a Python data source reading row groups in parallel."""
     return read_rowgroups(spark, table_path(sf_dir, "orders")).select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+
+
+@query("list_tables", "\nunion all\n".join(
+    f"select '{t}' as name, true as is_temporary, count(*) as n_rows from {t}" for t in TABLE_NAMES))
+def q_list_tables(spark, sf_dir):
+    """Published tables with their row counts (one job, a partial count per scan task)."""
+    catalog.register_tables(spark, sf_dir)
+    return catalog.list_tables(spark, set(TABLE_NAMES), with_counts=True)
+
+
+@query("lineage_log", """
+select 'input' as direction, 'weft' as namespace, 'orders' as name, count(*) as n_rows from orders
+union all
+select 'input', 'weft', 'lineitem', count(*) from lineitem
+union all
+select 'output', 'weft', 'priority_revenue', count(*)
+from (select o_orderpriority from orders join lineitem on l_orderkey = o_orderkey group by 1)
+""")
+def q_lineage_log(spark, sf_dir):
+    """A step's inputs and its saved output, with row counts, as lineage rows."""
+    orders = read_table(spark, sf_dir, "orders")
+    lineitem = read_table(spark, sf_dir, "lineitem")
+    step = (orders.join(lineitem, F.col("l_orderkey") == F.col("o_orderkey"))
+            .groupBy("o_orderpriority")
+            .agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue")))
+    saved = catalog.save(step, "priority_revenue", scratch_dir(spark, "lineage"))
+    return catalog.lineage_log({"orders": orders, "lineitem": lineitem}, "priority_revenue", saved).select(
+        "direction", "namespace", "name", "n_rows")
