@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.scalar import html_escape
+from weft.operators.frames import group_collect
 
 DIRECTIVES = ("$table", "$query")
 
@@ -113,9 +114,9 @@ def compose_per_key(df: DataFrame, key, item_cols, order_by, name: str = "items"
     keys = [key] if isinstance(key, str) else list(key)
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     item = F.struct(*[F.col(c) for c in item_cols])
-    grouped = (df.groupBy(*keys, *head_cols)
-               .agg(F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("_o"), item.alias("_i"))))
-                    .alias("_r")))
+    grouped = group_collect(df, [*keys, *head_cols],
+                            F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("_o"), item.alias("_i"))))
+                            .alias("_r"))
     items = F.transform("_r", lambda r: r["_i"])
     doc = F.to_json(F.struct(*[F.col(c) for c in (*keys, *head_cols)], items.alias(name)),
                     {"ignoreNullFields": "false"})
@@ -143,8 +144,8 @@ def report_per_key(df: DataFrame, key, cells, order_by) -> DataFrame:
     tds = [F.concat(F.lit("<td>"), F.coalesce(html_escape(c), F.lit("")), F.lit("</td>")) for c in cells]
     tr = F.concat(F.lit("<tr>"), *tds, F.lit("</tr>"))
     order = [order_by] if isinstance(order_by, str) else list(order_by)
-    grouped = df.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("_o"), tr.alias("_tr")))).alias("_r"),
+    grouped = group_collect(
+        df, keys, F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("_o"), tr.alias("_tr")))).alias("_r"),
         F.count(F.lit(1)).alias("count"))
     return grouped.select(*keys, "count",
                           F.concat(F.lit("<table>"), F.array_join(F.transform("_r", lambda r: r["_tr"]), ""),

@@ -85,3 +85,16 @@ def grouped_udaf(df: DataFrame, keys, udaf, args, merge: Callable[[Column], Colu
     split = df.withColumn("_split", F.spark_partition_id())
     partials = split.groupBy(*keys, "_split").agg(udaf(*args).alias("_partial"))
     return partials.groupBy(*keys).agg(merge(F.col("_partial")).alias(name))
+
+
+def group_collect(df: DataFrame, keys, *aggs: Column) -> DataFrame:
+    """``groupBy(keys).agg(aggs)`` for collecting aggregates (``collect_list`` and
+    the like), hash-partitioned on the keys first.
+
+    Collecting gains nothing from a map-side partial aggregate: it ships the
+    same rows, only as lists, and builds them where the scan is (one task for an
+    unsplittable file). Shuffling the rows and collecting once after the
+    exchange does the work in parallel, in the same stage as the aggregate.
+    """
+    keys = [keys] if isinstance(keys, (str, Column)) else list(keys)
+    return df.repartition(*keys).groupBy(*keys).agg(*aggs)

@@ -17,7 +17,7 @@ and state (``null`` / ``empty`` / ``present``), which is what lets the rebuild
 tell a missing array from an empty one.
 
 ``rebuild`` goes deepest table first: children are grouped by ``_parent_id``
-(one shuffle per child table, with partial aggregation map-side), ordered by
+(one shuffle per child table, rows collected once after the exchange), ordered by
 ``_pos`` and joined back to their parent.
 """
 
@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
+from weft.operators.frames import group_collect
+
 META = ("_row_id", "_parent_id", "_pos", "_children")
 
 # kinds of child tables
@@ -196,9 +198,8 @@ def _rebuilt_table(parts: dict, layout: dict[str, TableLayout], table: str) -> D
             item = (_data_struct(child, clay) if link.kind == ARRAY
                     else F.col("value") if link.kind == VALUES
                     else F.struct("key", "value"))
-            agg = (child.groupBy(F.col("_parent_id").alias(key))
-                   .agg(F.sort_array(F.collect_list(F.struct(F.col("_pos"), item.alias("v"))))
-                        .alias("_a")))
+            agg = group_collect(child.withColumnRenamed("_parent_id", key), key,
+                                F.sort_array(F.collect_list(F.struct(F.col("_pos"), item.alias("v")))).alias("_a"))
             items = F.transform(F.col("_a"), lambda x: x["v"])
             if link.kind == MAP:
                 items = F.map_from_entries(items)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from weft.operators.frames import group_collect
 from weft.session import cut_lineage
 
 
@@ -155,9 +156,8 @@ def batch_payloads(plan: DataFrame, columns, batch: str = "_batch", idx: str = "
     A batch holds at most ``batch_size`` rows, so each group is bounded."""
     body = F.to_json(F.struct(*[F.col(c) for c in columns]), {"ignoreNullFields": "false"})
     rows = plan.select(batch, idx, body.alias("_json"))
-    return (rows.groupBy(batch)
-            .agg(F.sort_array(F.collect_list(F.struct(F.col(idx), F.col("_json")))).alias("_r"),
-                 F.min(idx).alias("first_idx"), F.count(F.lit(1)).alias("n_records"))
+    return (group_collect(rows, batch, F.sort_array(F.collect_list(F.struct(F.col(idx), F.col("_json")))).alias("_r"),
+                          F.min(idx).alias("first_idx"), F.count(F.lit(1)).alias("n_records"))
             .select(batch, "first_idx", "n_records",
                     F.array_join(F.transform("_r", lambda r: r["_json"]), "\n").alias("payload")))
 

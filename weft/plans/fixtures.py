@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.operators.frames import group_collect
 from weft.sources.files import read_table
 
 # lineitem has no unique key per order: sort on every column for a total order
@@ -19,8 +20,8 @@ ORDER_FIELDS = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o
 def nested_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conv_id, turns array<struct<turn, role, text>>`` ordered by turn."""
     conv = read_table(spark, sf_dir, "conversations")
-    return (conv.groupBy("conv_id")
-            .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")))
+    return group_collect(conv, "conv_id",
+                         F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 
 
 def nested_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,13 +29,12 @@ def nested_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
     orders = read_table(spark, sf_dir, "orders")
     cust = read_table(spark, sf_dir, "customer")
-    lines = (li.groupBy("l_orderkey")
-             .agg(F.sort_array(F.collect_list(F.struct(*LINE_FIELDS))).alias("lines")))
+    lines = group_collect(li, "l_orderkey", F.sort_array(F.collect_list(F.struct(*LINE_FIELDS))).alias("lines"))
     ords = (orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
             .select("o_custkey", F.struct(*ORDER_FIELDS,
                                           F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType))
                                           .alias("lines")).alias("o")))
-    per_cust = ords.groupBy("o_custkey").agg(F.sort_array(F.collect_list("o")).alias("orders"))
+    per_cust = group_collect(ords, "o_custkey", F.sort_array(F.collect_list("o")).alias("orders"))
     otype = per_cust.schema["orders"].dataType
     return (cust.join(per_cust, cust.c_custkey == per_cust.o_custkey, "left")
             .select("c_custkey", "c_name", "c_mktsegment",
@@ -106,8 +106,8 @@ def batch_responses(spark: SparkSession, sf_dir: str, batch_size: int = 500) ->
                               '"message":"Record '), F.col("o_orderkey").cast("string"), F.lit(' rejected"}}')))
         .otherwise(F.lit("204 No Content")),
         F.lit("\n--batchresponse\n"))
-    grouped = (plan.groupBy("_batch")
-               .agg(F.sort_array(F.collect_list(F.struct("_batch_pos", part.alias("p")))).alias("_r")))
+    grouped = group_collect(plan, "_batch", F.sort_array(F.collect_list(F.struct("_batch_pos", part.alias("p"))))
+                            .alias("_r"))
     return grouped.select("_batch", F.concat(F.lit("--batchresponse\n"),
                                              F.array_join(F.transform("_r", lambda r: r["p"]), "")).alias("response"))
 
