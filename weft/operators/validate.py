@@ -177,7 +177,12 @@ def _check_frame(df: DataFrame, v: Column, schema: dict, errors: str) -> DataFra
         pieces += _own_checks(F.col(f"_jv{nid}"), F.col(f"_jk{nid}"), sch, F.lit(path))
     empty = F.array().cast("array<string>")
     msgs = F.flatten(F.array(*[F.coalesce(p, empty) for p in pieces])) if pieces else empty
-    return df.withColumn(errors, F.array_compact(msgs)).select(*base, errors)
+    # ``errors`` comes out of a one-row generator: a later filter on it (valid /
+    # rejected split) cannot be pushed below a generator's output, so Catalyst
+    # does not substitute the staged columns into the filter (which would
+    # re-parse every document once per reference instead of once).
+    df = df.withColumn("_errors", F.array_compact(msgs))
+    return df.select(*base, F.inline(F.array(F.struct(F.col("_errors").alias(errors)))))
 
 
 def compile_schema(schema: dict | str):

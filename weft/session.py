@@ -78,5 +78,7 @@ def spread_rows(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
     A large scan already has at least that many splits and is returned as is,
     so no shuffle is added at scale."""
+    if df.isStreaming:  # micro-batches are sized by the source's trigger options
+        return df
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
