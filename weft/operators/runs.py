@@ -106,22 +106,36 @@ def run_detail(runs: DataFrame, steps: DataFrame, run_id: Column, run: str = "ru
 
 
 def log_truncate(logs: DataFrame, keys=("run_id", "step"), seq: str = "seq", text: str = "line",
-                 budget: int = 5 * 1024 * 1024) -> DataFrame:
+                 budget: int = 5 * 1024 * 1024, chunk: int = 100_000) -> DataFrame:
     """Apply a per-step byte budget: lines are kept while the running size fits,
     the first line that crosses it is replaced by one marker, later lines are
-    dropped (empty lines still pass)."""
+    dropped (empty lines still pass).
+
+    The running size is not one window over a whole step (a step owning a third
+    of the log would be one task). Lines are cut into chunks of ``chunk`` seq
+    values; byte totals per (step, chunk) are a partial aggregate, a running sum
+    over that small table gives the bytes of earlier chunks, and the per-line
+    window only spans one chunk. Chunks already past the budget skip the window.
+    """
     from pyspark.sql import Window
 
-    size = F.octet_length(F.col(text))
-    w = Window.partitionBy(*_as_list(keys)).orderBy(seq)
-    before = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    df = logs.withColumn("_size", size).withColumn("_before", before)
+    keys = _as_list(keys)
+    s = F.col(seq)
+    num = F.unix_micros(s.cast("timestamp")) if dict(logs.dtypes)[seq] in ("timestamp", "timestamp_ntz", "date") else s
+    df = (logs.withColumn("_size", F.octet_length(F.col(text)))
+          .withColumn("_chunk", F.floor(num / F.lit(chunk)).cast("bigint")))
+    totals = df.groupBy(*keys, "_chunk").agg(F.sum("_size").alias("_tot"))
+    wk = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*keys, "_chunk", F.coalesce(F.sum("_tot").over(wk), F.lit(0)).alias("_carry"))
+    df = df.join(carry, [*keys, "_chunk"]).where((F.col("_carry") <= budget) | (F.col("_size") == 0))
+    wc = Window.partitionBy(*keys, "_chunk").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_before", F.col("_carry") + F.coalesce(F.sum("_size").over(wc), F.lit(0)))
     incl = F.col("_before") + F.col("_size")
     marker = (F.col("_before") < budget) & (incl > budget)
     kept = (incl <= budget) | (F.col("_size") == 0) | marker
     return (df.where(kept)
             .withColumn(text, F.when(marker, F.lit(TRUNCATION_MARKER)).otherwise(F.col(text)))
-            .drop("_size", "_before"))
+            .select(*logs.columns))
 
 
 def history_snippets(history: DataFrame, text: str = "query", order=("ts",), limit: int = 50,
