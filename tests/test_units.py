@@ -167,3 +167,14 @@ def test_log_truncate_chunks_agree(spark):
     assert one.count() > 0
     assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
     assert one.where(F.col("line") == "[OUTPUT TRUNCATED DUE TO SIZE LIMIT]").count() > 0
+
+
+# E1 a directive over more rows than allowed fails instead of cutting the document
+def test_compose_row_guard_raises(spark):
+    region = read_table(spark, SF_SMALL, "region")
+    doc = compose.compose(spark, {"rows": {"$table": "r", "$as": "array"}}, {"r": region}, max_rows=3)
+    with pytest.raises(Exception) as exc:
+        doc.collect()
+    assert "more than 3 rows" in str(exc.value)
+    ok = compose.compose(spark, {"rows": {"$table": "r", "$as": "array"}}, {"r": region}, max_rows=5)
+    assert ok.first()["document"].count("r_regionkey") == 5

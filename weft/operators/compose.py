@@ -55,11 +55,13 @@ def _rows_json(df: DataFrame, shape: str | None, order_by, max_rows: int, column
         first = F.min_by("_j", "_k") if keys is not None else F.any_value("_j")
         src = df.select(keys.alias("_k"), row.alias("_j")) if keys is not None else df.select(row.alias("_j"))
         return src.agg(F.coalesce(first, F.lit("{}")).alias("_doc")).scalar()
+    # A document is one value, so its rows meet in one task: at most max_rows + 1
+    # of them ever get there, and more than max_rows raises (never a cut document).
     if keys is not None:
-        src = df.select(keys.alias("_k"), row.alias("_j"))
+        src = df.select(keys.alias("_k"), row.alias("_j")).limit(max_rows + 1)
         rows = F.transform(F.sort_array(F.collect_list(F.struct("_k", "_j"))), lambda r: r["_j"])
     else:
-        src = df.select(row.alias("_j"))
+        src = df.select(row.alias("_j")).limit(max_rows + 1)
         rows = F.collect_list("_j")
     n = F.count(F.lit(1))
     guard = F.when(n > max_rows, F.raise_error(F.lit(f"directive has more than {max_rows} rows")))
