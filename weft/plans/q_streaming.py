@@ -52,7 +52,7 @@ def q_stream_latest_state(spark, sf_dir):
     ev = _events_stream(spark, sf_dir).selectExpr(
         "user_id as id", "event_type as status", "ts", "event_id as seq", "cast(round(value) as int) as duration")
     streams.stream_latest_state(ev, ["id"], "status", ["ts", "seq"], out, ckpt, extra_max=["duration"])
-    return streams.read_versioned(spark, out)
+    return streams.read_versioned(spark, out, ["id"])
 
 
 @query("stream_shred", CHILD_TURNS_SQL)
@@ -88,7 +88,7 @@ def q_stream_upsert(spark, sf_dir):
     changes = streams.file_stream(spark, drop, "o_orderkey bigint, o_orderstatus string, o_totalprice double, "
                                                "changed_at timestamp_ntz", max_files=1)
     streams.stream_upsert(changes, ["o_orderkey"], "changed_at", out, ckpt)
-    return streams.read_versioned(spark, out).select(*cols)
+    return streams.read_versioned(spark, out, ["o_orderkey"]).select(*cols)
 
 
 def _windowed(spark, sf_dir, window_col, key="event_type", delay="0 seconds"):

@@ -4,7 +4,9 @@ Every stream reads files (a folder that files are dropped into), keeps its
 checkpoint and output in the shared checkpoint folder, and writes through
 ``foreachBatch`` or the file sink, never the driver-side memory sink. Writes
 are keyed or versioned by batch id so a replayed batch produces the same
-result (exactly-once output on top of at-least-once execution).
+result (exactly-once output on top of at-least-once execution). Keyed targets
+are merged on read: a batch appends only its own rows, and a periodic
+compaction writes a new base, so no micro-batch rewrites the whole target.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.operators.nested import shred
-from weft.operators.sync import upsert
 from weft.operators.validate import validate
 from weft.sinks.files import scratch_dir
 
@@ -72,45 +73,70 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def _latest_version(spark: SparkSession, root: str) -> str | None:
-    """Newest complete version folder (listing through the Hadoop file system,
-    so it works on any shared storage)."""
+def _latest_base(spark: SparkSession, root: str) -> tuple[str, int] | None:
+    """Newest complete compacted base ``(path, first batch not in it)``; listing
+    goes through the Hadoop file system, so it works on any shared storage."""
     fs, p, jvm = _fs(spark, root)
     if not fs.exists(p):
         return None
     names = sorted(st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory())
-    done = [n for n in names if n.startswith("v-")
+    done = [n for n in names if n.startswith("base-")
             and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
-    return f"{root}/{done[-1]}" if done else None
+    return (f"{root}/{done[-1]}", int(done[-1][len("base-"):])) if done else None
 
 
-def _version_path(root: str, batch_id: int) -> str:
-    # version 0 is the seed table; batch n writes version n + 1
-    return f"{root}/v-{batch_id + 1:012d}"
+def _has_changes(spark: SparkSession, root: str) -> bool:
+    fs, p, jvm = _fs(spark, f"{root}/changes")
+    return fs.exists(p) and any(st.isDirectory() for st in fs.listStatus(p))
 
 
 def seed_versioned(df: DataFrame, root: str) -> None:
-    df.write.mode("overwrite").parquet(f"{root}/v-{0:012d}")
+    """The target before any batch: base 0."""
+    df.write.mode("overwrite").parquet(f"{root}/base-{0:012d}")
 
 
-def _versioned_merge(batch: DataFrame, keys, root: str, batch_id: int, order: str | None = None) -> None:
-    """Upsert one micro-batch into a versioned Parquet table. The version folder
-    is named by batch id, so a replayed batch rewrites the same version."""
+def read_versioned(spark: SparkSession, root: str, keys) -> DataFrame:
+    """Current table: the newest row per key over the latest base and the change
+    batches after it (merge on read). ``max_by`` on the batch id is a partial
+    aggregate, so a hot key is reduced map-side; batches already compacted into
+    the base are pruned by their partition value."""
+    keys = list(keys)
+    base = _latest_base(spark, root)
+    parts = []
+    first = 0
+    if base is not None:
+        path, first = base
+        parts.append(spark.read.parquet(path).withColumn("_batch", F.lit(first - 1)))
+    if _has_changes(spark, root):
+        parts.append(spark.read.parquet(f"{root}/changes").where(F.col("_batch") >= first))
+    if not parts:
+        raise FileNotFoundError(f"no versioned table under {root}")
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    body = [c for c in rows.columns if c not in keys and c != "_batch"]
+    return (rows.groupBy(*keys).agg(F.max_by(F.struct(*body), F.col("_batch")).alias("_r"))
+            .select(*keys, "_r.*"))
+
+
+def _versioned_merge(batch: DataFrame, keys, root: str, batch_id: int, order: str | None = None,
+                     compact_every: int = 10) -> None:
+    """Upsert one micro-batch: append its newest row per key as change batch
+    ``batch_id`` (a replay overwrites the same partition), so a batch costs its
+    own size, not the target's. Every ``compact_every`` batches the merged
+    table is written as a new base that later reads start from."""
     spark = batch.sparkSession
     if order is not None:
         body = [c for c in batch.columns if c not in keys]
         batch = (batch.groupBy(*keys).agg(F.max_by(F.struct(*body), F.col(order)).alias("_r"))
                  .select(*keys, "_r.*"))
-    target = _version_path(root, batch_id)
-    current = _latest_version(spark, root)
-    if current == target:  # replay of a finished batch
-        return
-    merged = batch if current is None else upsert(spark.read.parquet(current), batch, keys)
-    merged.write.mode("overwrite").parquet(target)
-
-
-def read_versioned(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(_latest_version(spark, root))
+    base = _latest_base(spark, root)
+    if base is not None:  # changes carry the target's columns
+        batch = batch.select(*spark.read.parquet(base[0]).columns)
+    (batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(f"{root}/changes"))
+    if (batch_id + 1) % compact_every == 0:
+        target = f"{root}/base-{batch_id + 1:012d}"
+        if base is None or base[0] != target:
+            read_versioned(spark, root, keys).write.mode("overwrite").parquet(target)
 
 
 def stream_shred(docs: DataFrame, name: str, key_cols, out: str, checkpoint: str) -> None:
