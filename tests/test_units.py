@@ -198,3 +198,16 @@ def test_versioned_merge_compacts_and_replays(spark):
     assert got == {1: "a2", 2: "b1", 3: "c2"}
     bases = sorted(n for n in os.listdir(root) if n.startswith("base-"))
     assert bases == ["base-000000000000", "base-000000000002", "base-000000000004"]
+
+
+# A14 connector: per-row-group and per-file planning read the same rows
+def test_rowgroup_source_planning_modes(spark):
+    from weft.sources.custom import read_rowgroups
+
+    path = scratch_dir(spark, "t") + "/orders"
+    read_table(spark, SF_SMALL, "orders").repartition(3).write.parquet(path)
+    by_group = read_rowgroups(spark, path)
+    by_file = read_rowgroups(spark, path, footer_planning_max_files=0)
+    assert by_file.rdd.getNumPartitions() == 3
+    assert by_group.count() == by_file.count() == 1500
+    assert by_group.exceptAll(by_file).count() == 0

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
-from weft.sources.files import TABLE_NAMES
+from weft.sources.files import TABLE_NAMES, read_input
 
 
 class TableNotFound(KeyError):
@@ -64,16 +64,24 @@ def list_databases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, description string")
 
 
+def _list_dir(spark: SparkSession, root: str) -> list[str]:
+    """Entry names under ``root`` through Hadoop's FileSystem (any shared storage)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(st.getPath().getName() for st in fs.listStatus(path))
+
+
 def register_folder(spark: SparkSession, root: str, names=None) -> list[str]:
     """Publish every ``<name>.parquet`` under ``root`` as a view (query across them)."""
     found = []
-    for entry in sorted(os.listdir(root)):
+    for entry in _list_dir(spark, root):
         if not entry.endswith(".parquet"):
             continue
         name = entry[: -len(".parquet")]
         if names is not None and name not in names:
             continue
-        register(spark.read.parquet(os.path.join(root, entry)), name)
+        register(read_input(spark, root.rstrip("/") + "/" + entry), name)
         found.append(name)
     return found
 

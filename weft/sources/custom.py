@@ -9,7 +9,6 @@ yields Arrow record batches, so the work is spread over row groups.
 
 from __future__ import annotations
 
-import glob
 import os
 from dataclasses import dataclass
 
@@ -17,33 +16,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
+# Up to this many files the driver reads their footers and plans one partition
+# per row group; beyond it, one partition per file (no footer reads on the
+# driver, the task reads every row group of its file).
+FOOTER_PLANNING_MAX_FILES = 64
+
+
 @dataclass
 class RowGroup(InputPartition):
     path: str
-    index: int
+    index: int | None  # None: every row group of the file
+
+
+def _fs(path: str):
+    from pyarrow import fs as pafs
+
+    return pafs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
 
 
 def _files(path: str) -> list[str]:
-    if os.path.isdir(path):
-        return sorted(glob.glob(os.path.join(path, "**", "*.parquet"), recursive=True))
-    return [path]
+    from pyarrow import fs as pafs
+
+    fs, root = _fs(path)
+    info = fs.get_file_info(root)
+    if info.type == pafs.FileType.Directory:
+        found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
+        return sorted(f.path for f in found if f.type == pafs.FileType.File and f.path.endswith(".parquet"))
+    return [root]
+
+
+def _open(options, file: str):
+    import pyarrow.parquet as pq
+
+    fs, _ = _fs(options["path"])
+    return pq.ParquetFile(fs.open_input_file(file))
 
 
 class RowGroupSource(DataSource):
-    """``spark.read.format("weft_rowgroups").option("path", …).load()``"""
+    """``spark.read.format("weft_rowgroups").option("path", …).load()``; the path
+    may be local or any URI pyarrow's file systems understand."""
 
     @classmethod
     def name(cls) -> str:
         return "weft_rowgroups"
 
     def schema(self):
-        import pyarrow.parquet as pq
         from pyspark.sql.pandas.types import from_arrow_schema
 
         files = _files(self.options["path"])
         if not files:
             raise FileNotFoundError(f"no Parquet files under {self.options['path']!r}")
-        return from_arrow_schema(pq.read_schema(files[0]))
+        return from_arrow_schema(_open(self.options, files[0]).schema_arrow)
 
     def reader(self, schema):
         return RowGroupReader(self.options, schema)
@@ -55,28 +78,26 @@ class RowGroupReader(DataSourceReader):
         self.columns = [f.name for f in schema.fields]
 
     def partitions(self):
-        import pyarrow.parquet as pq
-
-        parts = []
-        for f in _files(self.options["path"]):
-            n = pq.ParquetFile(f).num_row_groups
-            parts += [RowGroup(f, i) for i in range(n)]
-        return parts
+        files = _files(self.options["path"])
+        if len(files) > int(self.options.get("footerPlanningMaxFiles", FOOTER_PLANNING_MAX_FILES)):
+            return [RowGroup(f, None) for f in files]
+        return [RowGroup(f, i) for f in files for i in range(_open(self.options, f).num_row_groups)]
 
     def read(self, partition: RowGroup):
-        import pyarrow.parquet as pq
-
-        table = pq.ParquetFile(partition.path).read_row_group(partition.index, columns=self.columns)
-        yield from table.to_batches()
+        pf = _open(self.options, partition.path)
+        groups = range(pf.num_row_groups) if partition.index is None else [partition.index]
+        for i in groups:
+            yield from pf.read_row_group(i, columns=self.columns).to_batches()
 
 
 def register_sources(spark: SparkSession) -> None:
     spark.dataSource.register(RowGroupSource)
 
 
-def read_rowgroups(spark: SparkSession, path: str) -> DataFrame:
+def read_rowgroups(spark: SparkSession, path: str, footer_planning_max_files: int = FOOTER_PLANNING_MAX_FILES) -> DataFrame:
     register_sources(spark)
-    return spark.read.format("weft_rowgroups").option("path", path).load()
+    return (spark.read.format("weft_rowgroups").option("path", path)
+            .option("footerPlanningMaxFiles", footer_planning_max_files).load())
 
 
 def jdbc_options(url: str, *, table: str | None = None, query: str | None = None,
