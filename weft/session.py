@@ -25,6 +25,24 @@ BASE_CONF = {
 }
 
 
+# Settings for a large cluster (about 1000 executors, inputs of 100 TB). Many
+# initial shuffle partitions that AQE coalesces to the advisory size, so no
+# reducer has to hold more than a few hundred MB; splits of 256 MB; skewed
+# partitions split once they are 4x the median and above 512 MB; broadcasts
+# only for sides Spark measures below 64 MB.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "weft", extra: dict | None = None) -> SparkSession:
     """Session for local runs (tests, bench). On a cluster the caller brings its own."""
