@@ -211,3 +211,23 @@ def test_rowgroup_source_planning_modes(spark):
     assert by_file.rdd.getNumPartitions() == 3
     assert by_group.count() == by_file.count() == 1500
     assert by_group.exceptAll(by_file).count() == 0
+
+
+# Q15 a step's row count comes from the write, not from re-reading it
+def test_save_step_counts_rows_on_the_write(spark):
+    orders = read_table(spark, SF_SMALL, "orders").where(F.col("o_orderstatus") == "F")
+    saved, n = catalog.save_step(orders, "orders_f", scratch_dir(spark, "t"))
+    assert n == orders.count() == saved.count() and n > 0
+
+
+# Q11/Q12 every statement with a result is published, named by its position
+def test_run_statements_names_by_position(spark):
+    catalog.register(read_table(spark, SF_SMALL, "orders"), "orders")
+    out = catalog.run_statements(spark, "step", [
+        "select count(*) as n from orders",
+        "create or replace temp view big as select * from orders where o_totalprice > 100000",
+        "with x as (select o_orderstatus from big) select distinct o_orderstatus from x",
+    ])
+    assert set(out) == {"step", "step_3"}
+    assert spark.table("step").first()["n"] == 1500
+    assert spark.table("step_3").count() == out["step_3"].count() > 0

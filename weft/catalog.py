@@ -108,6 +108,31 @@ def save(df: DataFrame, name: str, root: str, mode: str = "overwrite") -> DataFr
     return saved
 
 
+def run_statements(spark: SparkSession, name: str, statements: list[str]) -> dict[str, DataFrame]:
+    """Run a step's SQL statements in order (given as a list: no splitter here).
+    Every statement that yields a result, ``WITH …`` included, is published
+    lazily: statement 1 as ``name``, statement n > 1 as ``name_n``, numbered by
+    position. Statements without a result (DDL) only take effect."""
+    out = {}
+    for n, text in enumerate(statements, start=1):
+        df = spark.sql(text)
+        if not df.columns:
+            continue
+        table = name if n == 1 else f"{name}_{n}"
+        out[table] = register(df, table)
+    return out
+
+
+def save_step(df: DataFrame, name: str, root: str) -> tuple[DataFrame, int]:
+    """Save a step's output and return it with its row count. The count is an
+    ``Observation`` metric collected by the write itself, not a second pass."""
+    from pyspark.sql import Observation
+
+    obs = Observation(f"rows_{name}_{uuid.uuid4().hex[:8]}")
+    saved = save(df.observe(obs, F.count(F.lit(1)).alias("rows")), name, root)
+    return saved, int(obs.get["rows"])
+
+
 def save_auto(df: DataFrame, name: str, root: str, key_cols=None, depth_limit: int = 5) -> dict:
     """Save a flat frame as one table, a nested one as shredded linked tables."""
     from weft.operators.nested import shred
