@@ -133,12 +133,20 @@ def save_step(df: DataFrame, name: str, root: str) -> tuple[DataFrame, int]:
     return saved, int(obs.get["rows"])
 
 
-def save_auto(df: DataFrame, name: str, root: str, key_cols=None, depth_limit: int = 5) -> dict:
-    """Save a flat frame as one table, a nested one as shredded linked tables."""
+def save_auto(df: DataFrame, name: str, root: str, key_cols=None, depth_limit: int = 5,
+              stage_input: bool = True) -> dict:
+    """Save a flat frame as one table, a nested one as shredded linked tables.
+
+    Each shredded table is its own write, and each write would scan and parse
+    the input again (a JSON source once per child table). With ``stage_input``
+    the nested rows are written once as Parquet and every table reads that.
+    """
     from weft.operators.nested import shred
 
     if not is_nested(df):
         return {name: save(df, name, root)}
+    if stage_input:
+        df = save(df, f"{name}__nested", root)
     parts = shred(df, name, key_cols=key_cols, depth_limit=depth_limit)
     return {t: save(part, t, root) for t, part in parts.items()}
 

@@ -196,11 +196,12 @@ def q_shred_roundtrip(spark, sf_dir):
 
 @query("ingest_json_shred", CHILD_TURNS_SQL)
 def q_ingest_json_shred(spark, sf_dir):
-    """Nested documents as JSON lines on disk → read (inferred) → shredded tables."""
+    """Nested documents as JSON lines on disk → read (inferred) → routed to
+    shredding because they are nested → linked tables saved and published."""
     path = scratch_dir(spark, "json") + "/conversations"
     nested_conversations(spark, sf_dir).write.json(path)
     docs = read_json(spark, path)
-    return shred(docs, "conv", key_cols=["conv_id"])["conv_turns"]
+    return catalog.save_auto(docs, "conv", scratch_dir(spark, "ingest"), key_cols=["conv_id"])["conv_turns"]
 
 
 # Shapes given to one field, by event type (fixed values of the irregular fixture).

@@ -51,7 +51,9 @@ def read_csv(spark: SparkSession, path: str, schema=None, header: bool = True) -
 def read_json(spark: SparkSession, path: str, schema=None, multi_line: bool = False) -> DataFrame:
     """JSON lines (splittable) by default. ``multi_line`` reads each file as one
     document/array and therefore costs one task per file: convert such input to
-    JSON lines or Parquet once at ingestion."""
+    JSON lines or Parquet once at ingestion. Without ``schema`` Spark infers one
+    in an extra pass over all the input; at scale pass the schema, or read
+    irregular input as VARIANT (:func:`read_json_variant`), which needs none."""
     reader = spark.read.option("multiLine", multi_line)
     if schema is not None:
         reader = reader.schema(schema)
