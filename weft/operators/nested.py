@@ -33,6 +33,9 @@ from weft.operators.frames import group_collect
 
 META = ("_row_id", "_parent_id", "_pos", "_children")
 
+# Fixed value: default nesting depth kept by shred (the root is depth 1).
+DEPTH_LIMIT = 5
+
 # kinds of child tables
 OBJECT, ARRAY, VALUES, MAP = "object", "array", "values", "map"
 
@@ -86,7 +89,7 @@ def child_id(parent: Column, fname: str, pos: Column) -> Column:
     return F.md5(F.concat_ws("|", parent, F.lit(fname), pos.cast("string")))
 
 
-def shred(df: DataFrame, name: str, key_cols=None, depth_limit: int = 5,
+def shred(df: DataFrame, name: str, key_cols=None, depth_limit: int = DEPTH_LIMIT,
           overflow: str | None = None) -> ShredResult:
     """Split ``df`` into linked tables. ``key_cols`` must identify a row uniquely;
     without them the file path and row index of a file scan are used.

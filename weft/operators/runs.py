@@ -10,10 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Group statuses, strongest first (fixed values).
+# Group statuses (strongest first), the log truncation marker,
+# the per-step log budget, the history list size and snippet width, and the
+# characters a name normalisation replaces.
 ERROR, PENDING, PARTIAL, SKIPPED, SUCCESS = "error", "pending", "partial", "skipped", "success"
-
 TRUNCATION_MARKER = "[OUTPUT TRUNCATED DUE TO SIZE LIMIT]"
+LOG_BUDGET_BYTES = 5 * 1024 * 1024
+HISTORY_LIMIT = 50
+SNIPPET_WIDTH = 50
+NAME_PATTERN = r"[\s-]"
 
 
 def _as_list(x):
@@ -75,7 +80,7 @@ def run_first_error(steps: DataFrame, run: str = "run_id", order=("ts", "event_i
 
 def normalise_name(c) -> Column:
     """Names usable as identifiers: whitespace and dashes become ``_``."""
-    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"[\s-]", "_")
+    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, NAME_PATTERN, "_")
 
 
 def latest_state(events: DataFrame, keys=("id", "flow"), status: str = "status", ts: str = "timestamp",
@@ -89,7 +94,7 @@ def latest_state(events: DataFrame, keys=("id", "flow"), status: str = "status",
     return events.groupBy(*_as_list(keys)).agg(*aggs)
 
 
-def run_history(events: DataFrame, flow: str | None = None, limit: int = 50, **kw) -> DataFrame:
+def run_history(events: DataFrame, flow: str | None = None, limit: int = HISTORY_LIMIT, **kw) -> DataFrame:
     """Newest ``limit`` runs (top-k, not a global sort), optionally for one flow."""
     ts = kw.get("ts", "timestamp")
     if flow is not None:
@@ -106,7 +111,7 @@ def run_detail(runs: DataFrame, steps: DataFrame, run_id: Column, run: str = "ru
 
 
 def log_truncate(logs: DataFrame, keys=("run_id", "step"), seq: str = "seq", text: str = "line",
-                 budget: int = 5 * 1024 * 1024, chunk: int = 100_000) -> DataFrame:
+                 budget: int = LOG_BUDGET_BYTES, chunk: int = 100_000) -> DataFrame:
     """Apply a per-step byte budget: lines are kept while the running size fits,
     the first line that crosses it is replaced by one marker, later lines are
     dropped (empty lines still pass).
@@ -138,8 +143,8 @@ def log_truncate(logs: DataFrame, keys=("run_id", "step"), seq: str = "seq", tex
             .select(*logs.columns))
 
 
-def history_snippets(history: DataFrame, text: str = "query", order=("ts",), limit: int = 50,
-                     width: int = 50) -> DataFrame:
+def history_snippets(history: DataFrame, text: str = "query", order=("ts",), limit: int = HISTORY_LIMIT,
+                     width: int = SNIPPET_WIDTH) -> DataFrame:
     """Newest ``limit`` entries with line breaks collapsed to one space, trimmed, and a ``width``-char snippet."""
     flat = F.regexp_replace(F.regexp_replace(F.col(text), r"[\n\r]+", " "), r"^\s+|\s+$", "")
     snippet = F.when(F.char_length(flat) > width, F.concat(F.substring(flat, 1, width), F.lit("...")))

@@ -20,6 +20,13 @@ from weft.operators.frames import group_collect
 from weft.session import cut_lineage
 
 
+# The default records per batch, and the markers of a multipart
+# batch response (part separator, status line).
+BATCH_SIZE = 1000
+PART_SEPARATOR = "Content-ID:"
+STATUS_LINE = r"HTTP/1\.1\s+(\d+)"
+
+
 class KeyError_(ValueError):
     pass
 
@@ -128,7 +135,7 @@ def dedupe_latest(df: DataFrame, keys, order) -> DataFrame:
 
 # ---------------------------------------------------------------- batches
 
-def batch_plan(df: DataFrame, order=None, batch_size: int = 1000, num_partitions: int | None = None) -> DataFrame:
+def batch_plan(df: DataFrame, order=None, batch_size: int = BATCH_SIZE, num_partitions: int | None = None) -> DataFrame:
     """Adds ``_idx`` (dense 0-based global index in ``order``), ``_batch`` and
     ``_batch_pos``. Without ``order`` the existing partition order is used."""
     spark = df.sparkSession
@@ -201,10 +208,10 @@ def batch_outcomes(responses: DataFrame, batch_size: int, batch: str = "_batch",
     """Per-record outcome from multipart batch responses: the text is split on
     ``Content-ID:``; each part gives the 1-based request id, the HTTP status and,
     for failures, ``error.message`` from its JSON body (else ``HTTP <status>``)."""
-    parts = responses.select(batch, F.posexplode(F.split(F.col(text), "Content-ID:")).alias("_p", "part"))
+    parts = responses.select(batch, F.posexplode(F.split(F.col(text), PART_SEPARATOR)).alias("_p", "part"))
     parts = parts.where(F.col("_p") > 0)
     req = F.regexp_extract("part", r"^\s*(\d+)", 1)
-    status = F.regexp_extract("part", r"HTTP/1\.1\s+(\d+)", 1)
+    status = F.regexp_extract("part", STATUS_LINE, 1)
     body = F.regexp_extract("part", r"(\{[\s\S]*\})", 1)
     parts = (parts.withColumn("_req", F.when(req != "", req.cast("int")))
              .withColumn("status", F.when(status != "", status.cast("int")))

@@ -22,6 +22,24 @@ from pyspark.sql import functions as F
 
 from weft.session import spread_rows
 
+# Error message formats of the validator, per keyword (fixed values).
+MESSAGES = {
+    "type": "must be {types}",
+    "required": "must have required property '{name}'",
+    "additionalProperties": "must NOT have additional properties",
+    "maxLength": "must NOT have more than {n} characters",
+    "minLength": "must NOT have fewer than {n} characters",
+    "pattern": 'must match pattern "{pattern}"',
+    "maximum": "must be <= {n}",
+    "minimum": "must be >= {n}",
+    "exclusiveMaximum": "must be < {n}",
+    "exclusiveMinimum": "must be > {n}",
+    "maxItems": "must NOT have more than {n} items",
+    "minItems": "must NOT have fewer than {n} items",
+    "enum": "must be equal to one of the allowed values",
+    "json": "data must be valid JSON",
+}
+
 _ANNOTATIONS = {"title", "description", "$schema", "$id", "default", "examples", "$comment", "format"}
 _SUPPORTED = {"type", "required", "properties", "enum", "minimum", "maximum", "exclusiveMinimum",
               "exclusiveMaximum", "minLength", "maxLength", "pattern", "items", "minItems", "maxItems",
@@ -75,46 +93,45 @@ def _own_checks(v: Column, kind: Column, schema: dict, path: Column) -> list[Col
     present = v.isNotNull()
     if "type" in schema:
         types = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        out.append(F.array(F.when(present & ~_type_ok(kind, types), _msg(path, f"must be {','.join(types)}"))))
+        out.append(F.array(F.when(present & ~_type_ok(kind, types), _msg(path, MESSAGES["type"].format(types=",".join(types))))))
     is_obj, is_arr = present & (kind == "object"), present & (kind == "array")
     is_str, is_num = present & (kind == "string"), present & kind.isin("integer", "number")
 
     for r in schema.get("required", []):
         sub = F.try_variant_get(v, f"$['{r}']", "variant")
-        out.append(F.array(F.when(is_obj & sub.isNull(), _msg(path, f"must have required property '{r}'"))))
+        out.append(F.array(F.when(is_obj & sub.isNull(), _msg(path, MESSAGES["required"].format(name=r)))))
     props = schema.get("properties", {})
     if schema.get("additionalProperties") is False:
         keys = F.json_object_keys(F.to_json(v))
         extra = F.filter(keys, lambda k: ~k.isin(*props.keys())) if props else keys
         out.append(F.array(F.when(is_obj & (F.size(extra) > 0),
-                                  _msg(path, "must NOT have additional properties"))))
+                                  _msg(path, MESSAGES["additionalProperties"]))))
 
     s = F.try_variant_get(v, "$", "string")
     if "maxLength" in schema:
         out.append(F.array(F.when(is_str & (F.char_length(s) > schema["maxLength"]),
-                                  _msg(path, f"must NOT have more than {schema['maxLength']} characters"))))
+                                  _msg(path, MESSAGES["maxLength"].format(n=schema["maxLength"])))))
     if "minLength" in schema:
         out.append(F.array(F.when(is_str & (F.char_length(s) < schema["minLength"]),
-                                  _msg(path, f"must NOT have fewer than {schema['minLength']} characters"))))
+                                  _msg(path, MESSAGES["minLength"].format(n=schema["minLength"])))))
     if "pattern" in schema:
         out.append(F.array(F.when(is_str & ~s.rlike(schema["pattern"]),
-                                  _msg(path, f'must match pattern "{schema["pattern"]}"'))))
+                                  _msg(path, MESSAGES["pattern"].format(pattern=schema["pattern"])))))
 
     d = F.try_variant_get(v, "$", "double")
-    for kw, op, word in (("maximum", lambda a, b: a > b, "<="), ("minimum", lambda a, b: a < b, ">="),
-                         ("exclusiveMaximum", lambda a, b: a >= b, "<"),
-                         ("exclusiveMinimum", lambda a, b: a <= b, ">")):
+    for kw, op in (("maximum", lambda a, b: a > b), ("minimum", lambda a, b: a < b),
+                   ("exclusiveMaximum", lambda a, b: a >= b), ("exclusiveMinimum", lambda a, b: a <= b)):
         if kw in schema:
             out.append(F.array(F.when(is_num & op(d, F.lit(float(schema[kw]))),
-                                      _msg(path, f"must be {word} {_fmt_num(schema[kw])}"))))
+                                      _msg(path, MESSAGES[kw].format(n=_fmt_num(schema[kw]))))))
 
     arr = F.try_variant_get(v, "$", "array<variant>")
     if "maxItems" in schema:
         out.append(F.array(F.when(is_arr & (F.size(arr) > schema["maxItems"]),
-                                  _msg(path, f"must NOT have more than {schema['maxItems']} items"))))
+                                  _msg(path, MESSAGES["maxItems"].format(n=schema["maxItems"])))))
     if "minItems" in schema:
         out.append(F.array(F.when(is_arr & (F.size(arr) < schema["minItems"]),
-                                  _msg(path, f"must NOT have fewer than {schema['minItems']} items"))))
+                                  _msg(path, MESSAGES["minItems"].format(n=schema["minItems"])))))
     if isinstance(schema.get("items"), dict):
         item_schema = schema["items"]
 
@@ -127,7 +144,7 @@ def _own_checks(v: Column, kind: Column, schema: dict, path: Column) -> list[Col
     if "enum" in schema:
         allowed = [json.dumps(x, separators=(",", ":"), sort_keys=True) for x in schema["enum"]]
         out.append(F.array(F.when(present & ~F.to_json(v).isin(*allowed),
-                                  _msg(path, "must be equal to one of the allowed values"))))
+                                  _msg(path, MESSAGES["enum"]))))
     return out
 
 
@@ -214,7 +231,7 @@ def validate(df: DataFrame, schema: dict | str, text: str | None = None, variant
     if variant is not None:
         return _check_frame(df, F.col(variant), schema, errors)
     checked = _check_frame(df.withColumn("_jdoc", F.try_parse_json(F.col(text))), F.col("_jdoc"), schema, errors)
-    return (checked.withColumn(errors, F.when(F.col("_jdoc").isNull(), F.array(F.lit("data must be valid JSON")))
+    return (checked.withColumn(errors, F.when(F.col("_jdoc").isNull(), F.array(F.lit(MESSAGES["json"])))
                                .otherwise(F.col(errors))).drop("_jdoc"))
 
 
