@@ -222,10 +222,20 @@ def _rebuilt_table(parts: dict, layout: dict[str, TableLayout], table: str) -> D
 
 
 def rebuild(parts: ShredResult, layout: dict[str, TableLayout] | None = None,
-            root: str | None = None, keep_id: bool = False) -> DataFrame:
-    """Nested rows of ``root`` from its shredded tables (inverse of :func:`shred`)."""
+            root: str | None = None, keep_id: bool = False, max_items: int | None = None) -> DataFrame:
+    """Nested rows of ``root`` from its shredded tables (inverse of :func:`shred`).
+
+    A rebuilt array is one value, built in one task. ``max_items`` checks
+    first (one small aggregate job) that no parent owns more children than
+    that, and raises naming the table instead of building such an array.
+    """
     layout = layout or parts.layout
     root = root or parts.root
+    if max_items is not None:
+        worst = max_children(parts).where(F.col("max_children") > max_items).collect()
+        if worst:
+            raise ValueError("parents with more than "
+                             f"{max_items} children: {', '.join(f'{r.table} ({r.max_children})' for r in worst)}")
     out = _rebuilt_table(parts, layout, root)
     cols = ["_row_id"] if keep_id else []
     return out.select(*cols, *[F.col(f"`{c}`") for c in layout[root].columns])
