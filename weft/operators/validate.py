@@ -83,6 +83,17 @@ def _fmt_num(x) -> str:
     return str(int(x)) if isinstance(x, float) and x.is_integer() else str(x)
 
 
+def _no_errors() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _fails(cond: Column, message: Column) -> Column:
+    """One check: ``[message]`` when ``cond`` holds, else ``[]`` (never null), so
+    the checks concatenate without a null-dropping pass (a lambda, which would
+    take the whole projection out of code generation)."""
+    return F.when(cond, F.array(message)).otherwise(_no_errors())
+
+
 def _own_checks(v: Column, kind: Column, schema: dict, path: Column) -> list[Column]:
     """Error-message arrays for the node's own keywords (not its properties)."""
     unknown = set(schema) - _SUPPORTED - _ANNOTATIONS
@@ -93,58 +104,58 @@ def _own_checks(v: Column, kind: Column, schema: dict, path: Column) -> list[Col
     present = v.isNotNull()
     if "type" in schema:
         types = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        out.append(F.array(F.when(present & ~_type_ok(kind, types), _msg(path, MESSAGES["type"].format(types=",".join(types))))))
+        out.append(_fails(present & ~_type_ok(kind, types), _msg(path, MESSAGES["type"].format(types=",".join(types)))))
     is_obj, is_arr = present & (kind == "object"), present & (kind == "array")
     is_str, is_num = present & (kind == "string"), present & kind.isin("integer", "number")
 
     for r in schema.get("required", []):
         sub = F.try_variant_get(v, f"$['{r}']", "variant")
-        out.append(F.array(F.when(is_obj & sub.isNull(), _msg(path, MESSAGES["required"].format(name=r)))))
+        out.append(_fails(is_obj & sub.isNull(), _msg(path, MESSAGES["required"].format(name=r))))
     props = schema.get("properties", {})
     if schema.get("additionalProperties") is False:
         keys = F.json_object_keys(F.to_json(v))
         extra = F.filter(keys, lambda k: ~k.isin(*props.keys())) if props else keys
-        out.append(F.array(F.when(is_obj & (F.size(extra) > 0),
-                                  _msg(path, MESSAGES["additionalProperties"]))))
+        out.append(_fails(is_obj & (F.size(extra) > 0),
+                                  _msg(path, MESSAGES["additionalProperties"])))
 
     s = F.try_variant_get(v, "$", "string")
     if "maxLength" in schema:
-        out.append(F.array(F.when(is_str & (F.char_length(s) > schema["maxLength"]),
-                                  _msg(path, MESSAGES["maxLength"].format(n=schema["maxLength"])))))
+        out.append(_fails(is_str & (F.char_length(s) > schema["maxLength"]),
+                                  _msg(path, MESSAGES["maxLength"].format(n=schema["maxLength"]))))
     if "minLength" in schema:
-        out.append(F.array(F.when(is_str & (F.char_length(s) < schema["minLength"]),
-                                  _msg(path, MESSAGES["minLength"].format(n=schema["minLength"])))))
+        out.append(_fails(is_str & (F.char_length(s) < schema["minLength"]),
+                                  _msg(path, MESSAGES["minLength"].format(n=schema["minLength"]))))
     if "pattern" in schema:
-        out.append(F.array(F.when(is_str & ~s.rlike(schema["pattern"]),
-                                  _msg(path, MESSAGES["pattern"].format(pattern=schema["pattern"])))))
+        out.append(_fails(is_str & ~s.rlike(schema["pattern"]),
+                                  _msg(path, MESSAGES["pattern"].format(pattern=schema["pattern"]))))
 
     d = F.try_variant_get(v, "$", "double")
     for kw, op in (("maximum", lambda a, b: a > b), ("minimum", lambda a, b: a < b),
                    ("exclusiveMaximum", lambda a, b: a >= b), ("exclusiveMinimum", lambda a, b: a <= b)):
         if kw in schema:
-            out.append(F.array(F.when(is_num & op(d, F.lit(float(schema[kw]))),
-                                      _msg(path, MESSAGES[kw].format(n=_fmt_num(schema[kw]))))))
+            out.append(_fails(is_num & op(d, F.lit(float(schema[kw]))),
+                                      _msg(path, MESSAGES[kw].format(n=_fmt_num(schema[kw])))))
 
     arr = F.try_variant_get(v, "$", "array<variant>")
     if "maxItems" in schema:
-        out.append(F.array(F.when(is_arr & (F.size(arr) > schema["maxItems"]),
-                                  _msg(path, MESSAGES["maxItems"].format(n=schema["maxItems"])))))
+        out.append(_fails(is_arr & (F.size(arr) > schema["maxItems"]),
+                                  _msg(path, MESSAGES["maxItems"].format(n=schema["maxItems"]))))
     if "minItems" in schema:
-        out.append(F.array(F.when(is_arr & (F.size(arr) < schema["minItems"]),
-                                  _msg(path, MESSAGES["minItems"].format(n=schema["minItems"])))))
+        out.append(_fails(is_arr & (F.size(arr) < schema["minItems"]),
+                                  _msg(path, MESSAGES["minItems"].format(n=schema["minItems"]))))
     if isinstance(schema.get("items"), dict):
         item_schema = schema["items"]
 
         def per_item(x, i):
             msgs = _inline(x, item_schema, F.concat(path, F.lit("/"), i.cast("string")))
-            return F.flatten(F.array(*msgs)) if msgs else F.array().cast("array<string>")
+            return F.flatten(F.array(*msgs)) if msgs else _no_errors()
 
-        out.append(F.when(is_arr, F.flatten(F.transform(arr, per_item))))
+        out.append(F.coalesce(F.when(is_arr, F.flatten(F.transform(arr, per_item))), _no_errors()))
 
     if "enum" in schema:
         allowed = [json.dumps(x, separators=(",", ":"), sort_keys=True) for x in schema["enum"]]
-        out.append(F.array(F.when(present & ~F.to_json(v).isin(*allowed),
-                                  _msg(path, MESSAGES["enum"]))))
+        out.append(_fails(present & ~F.to_json(v).isin(*allowed),
+                                  _msg(path, MESSAGES["enum"])))
     return out
 
 
@@ -192,13 +203,13 @@ def _check_frame(df: DataFrame, v: Column, schema: dict, errors: str) -> DataFra
     for nid, names, sch in nodes:
         path = "".join("/" + n for n in names)
         pieces += _own_checks(F.col(f"_jv{nid}"), F.col(f"_jk{nid}"), sch, F.lit(path))
-    empty = F.array().cast("array<string>")
-    msgs = F.flatten(F.array(*[F.coalesce(p, empty) for p in pieces])) if pieces else empty
+    empty = _no_errors()
+    msgs = F.flatten(F.array(*pieces)) if pieces else empty
     # ``errors`` comes out of a one-row generator: a later filter on it (valid /
     # rejected split) cannot be pushed below a generator's output, so Catalyst
     # does not substitute the staged columns into the filter (which would
     # re-parse every document once per reference instead of once).
-    df = df.withColumn("_errors", F.array_compact(msgs))
+    df = df.withColumn("_errors", msgs)
     return df.select(*base, F.inline(F.array(F.struct(F.col("_errors").alias(errors)))))
 
 
@@ -210,8 +221,7 @@ def compile_schema(schema: dict | str):
 
     def check(v: Column) -> Column:
         pieces = _inline(v, schema, F.lit(""))
-        all_msgs = F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<string>")) for p in pieces]))
-        return F.array_compact(all_msgs)
+        return F.flatten(F.array(*pieces)) if pieces else _no_errors()
 
     return check
 
