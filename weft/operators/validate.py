@@ -227,14 +227,15 @@ def compile_schema(schema: dict | str):
 
 
 def validate(df: DataFrame, schema: dict | str, text: str | None = None, variant: str | None = None,
-             errors: str = "errors", spread: bool = True) -> DataFrame:
+             errors: str = "errors", spread: bool = False) -> DataFrame:
     """Adds ``errors array<string>`` for every row: from a JSON text column (parsed
     with ``try_parse_json``; unparseable → ``data must be valid JSON``) or from a
     VARIANT column.
 
-    Checking is CPU-bound per row; with ``spread`` an input that arrives in fewer
-    partitions than the cluster has cores (one small file, one row group) is
-    first spread round-robin over them. Large inputs are left as they are.
+    Checking is CPU-bound per row. ``spread=True`` (for an input that is a file
+    scan) first spreads an input with fewer partitions than the cluster has
+    cores (one small file, one row group) round-robin over them; see
+    :func:`weft.session.spread_rows`.
     """
     if spread:
         df = spread_rows(df)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.operators.frames import group_collect
+from weft.session import spread_rows
 from weft.sources.files import read_table
 
 # lineitem has no unique key per order: sort on every column for a total order
@@ -128,8 +129,9 @@ REQUEST_SCHEMA = {
 def request_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per event: valid (purchase; an extra numeric tag when k > 50),
     wrong type (click), missing required (view), empty name and negative age
-    (signup), malformed text (error)."""
-    ev = read_table(spark, sf_dir, "events")
+    (signup), malformed text (error). Building and checking a document is
+    CPU-bound, so a scan in fewer splits than cores is spread first."""
+    ev = spread_rows(read_table(spark, sf_dir, "events"))
     return ev.selectExpr("event_id as request_id", "'POST' as method", """
         case event_type
           when 'purchase' then concat('{"query":{"name":"u', user_id, '"},"body":{"age":',

@@ -95,7 +95,10 @@ def spread_rows(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     cores) when it has fewer, so CPU-heavy per-row work is not left to one task.
 
     A large scan already has at least that many splits and is returned as is,
-    so no shuffle is added at scale."""
+    so no shuffle is added at scale. Call it on a scan (plus row-local
+    projections): counting the partitions of a plan that already shuffles makes
+    adaptive execution run that shuffle first, and such a plan has the
+    shuffle's partition count anyway."""
     if df.isStreaming:  # micro-batches are sized by the source's trigger options
         return df
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
