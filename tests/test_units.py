@@ -231,3 +231,19 @@ def test_run_statements_names_by_position(spark):
     assert set(out) == {"step", "step_3"}
     assert spark.table("step").first()["n"] == 1500
     assert spark.table("step_3").count() == out["step_3"].count() > 0
+
+
+# spreading a small scan adds a round-robin exchange and runs nothing eagerly
+def test_spread_rows_on_a_scan_is_lazy(spark):
+    from weft.session import spread_rows
+
+    sc = spark.sparkContext
+    events = read_table(spark, SF_SMALL, "events")  # a first read infers the schema (one job)
+    sc.setJobGroup("spread-probe", "spread-probe")
+    try:
+        spread = spread_rows(events, min_partitions=4)
+        assert sc.statusTracker().getJobIdsForGroup("spread-probe") == []
+    finally:
+        sc.setJobGroup(None, None)
+    assert spread.rdd.getNumPartitions() == 4
+    assert spread.count() == read_table(spark, SF_SMALL, "events").count()
