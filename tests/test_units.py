@@ -247,3 +247,16 @@ def test_spread_rows_on_a_scan_is_lazy(spark):
         sc.setJobGroup(None, None)
     assert spread.rdd.getNumPartitions() == 4
     assert spread.count() == read_table(spark, SF_SMALL, "events").count()
+
+
+# partitioned export: a filter on the partition column prunes directories at the scan
+def test_partitioned_export_prunes(spark):
+    from weft.sinks.files import write_parquet
+
+    path = write_parquet(read_table(spark, SF_SMALL, "orders"), scratch_dir(spark, "t") + "/orders_by_priority",
+                         partition_by=["o_orderpriority"])
+    urgent = spark.read.parquet(path).where(F.col("o_orderpriority") == "1-URGENT").select("o_orderkey")
+    plan = _plan(urgent)
+    assert "PartitionFilters: [" in plan and "1-URGENT" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    expected = read_table(spark, SF_SMALL, "orders").where(F.col("o_orderpriority") == "1-URGENT").count()
+    assert urgent.count() == expected > 0
