@@ -143,9 +143,15 @@ def stream_shred(docs: DataFrame, name: str, key_cols, out: str, checkpoint: str
     """Each dropped batch of nested documents is shredded into its linked tables,
     appended under ``out/<table>`` with the batch id as a partition (replay overwrites it)."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        for table, part in shred(batch, name, key_cols=key_cols).items():
-            (part.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(f"{out}/{table}"))
+        # one write per table: keep the parsed batch instead of re-reading and
+        # re-parsing its files for every table (a lost block is recomputed)
+        batch.persist()
+        try:
+            for table, part in shred(batch, name, key_cols=key_cols).items():
+                (part.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite")
+                 .option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(f"{out}/{table}"))
+        finally:
+            batch.unpersist()
 
     run_foreach_batch(docs, write, checkpoint)
 
