@@ -260,3 +260,23 @@ def test_partitioned_export_prunes(spark):
     assert "PartitionFilters: [" in plan and "1-URGENT" in plan.split("PartitionFilters: [")[1].split("]")[0]
     expected = read_table(spark, SF_SMALL, "orders").where(F.col("o_orderpriority") == "1-URGENT").count()
     assert urgent.count() == expected > 0
+
+
+# the README pipeline end to end: validate, gate, shred + save, upsert a child table, plan batches
+def test_readme_pipeline(spark):
+    import weft
+    from weft.plans.fixtures import request_documents
+
+    raw = request_documents(spark, SF_SMALL).select("request_id", "doc")
+    checked = weft.validate(raw, REQUEST_SCHEMA, text="doc")
+    metrics = weft.quality_metrics(checked, bad=F.size("errors") > 0)
+    good = weft.gated(weft.valid_rows(checked), metrics, "bad <= total")
+    doc_schema = "query struct<name: string>, body struct<age: int>, tags array<string>"
+    docs = good.select("request_id", F.from_json("doc", doc_schema).alias("d")).select("request_id", "d.*")
+    tables = weft.save_auto(docs, "req", root=scratch_dir(spark, "t"), key_cols=["request_id"])
+    assert {"req", "req_query", "req_body", "req_tags"} <= set(tables)
+    tags = tables["req_tags"].drop("_children")
+    target = weft.upsert(tags.where(F.col("_pos") > 0), tags, keys=["_row_id"])
+    assert target.count() == tags.count() > 0
+    plan = weft.batch_plan(target, order="_row_id", batch_size=10)
+    assert plan.agg(F.max("_idx")).first()[0] == tags.count() - 1
