@@ -4,11 +4,13 @@
 ``{"$query": …}`` node becomes a one-row aggregate of its rows turned into JSON
 text, attached as a scalar subquery; the literal parts of the template are
 plain JSON text. The result is one row holding one document, so directive
-inputs must be bounded (aggregates, top-k): ``max_rows`` makes the job fail
-rather than gather an unbounded table into one row.
+inputs must be bounded (aggregates, top-k): at most ``max_rows + 1`` rows of a
+directive reach its task, and more than ``max_rows`` fails the job rather than
+gather an unbounded table into one row or cut the document.
 
-``compose_per_key`` is the scalable form: one document per key, built with a
-``groupBy`` (partial aggregation map-side), so the work spreads over the keys.
+``compose_per_key`` is the scalable form: one document per key, built after a
+shuffle on the key (:func:`weft.operators.frames.group_collect`), so the work
+spreads over the keys.
 """
 
 from __future__ import annotations
