@@ -280,3 +280,18 @@ def test_readme_pipeline(spark):
     assert target.count() == tags.count() > 0
     plan = weft.batch_plan(target, order="_row_id", batch_size=10)
     assert plan.agg(F.max("_idx")).first()[0] == tags.count() - 1
+
+
+# L6 the time bucket only splits the work: any bucket size gives the same matches
+def test_asof_bucket_size_does_not_change_matches(spark):
+    from weft.operators.asof import join_asof
+
+    ev = read_table(spark, SF_SMALL, "events")
+    p = ev.where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
+    v = ev.where(F.col("event_type") == "view").select(
+        "user_id", F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"))
+    small = join_asof(p, v, "user_id", "ts", right_ts="view_ts", bucket_seconds=60)
+    one = join_asof(p, v, "user_id", "ts", right_ts="view_ts", bucket_seconds=10**9)
+    assert small.count() == one.count() == p.count()
+    assert small.exceptAll(one).count() == 0
+    assert small.where(F.col("view_id").isNotNull()).count() > 0
