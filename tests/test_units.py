@@ -295,3 +295,13 @@ def test_asof_bucket_size_does_not_change_matches(spark):
     assert small.count() == one.count() == p.count()
     assert small.exceptAll(one).count() == 0
     assert small.where(F.col("view_id").isNotNull()).count() > 0
+
+
+# E4 per-key documents can refuse a key with too many items before collecting
+def test_compose_per_key_item_guard(spark):
+    orders = read_table(spark, SF_SMALL, "orders")
+    most = orders.groupBy("o_custkey").count().agg(F.max("count")).first()[0]
+    with pytest.raises(ValueError, match="max_items"):
+        compose.compose_per_key(orders, "o_custkey", ["o_orderkey"], "o_orderkey", max_items=most - 1)
+    docs = compose.compose_per_key(orders, "o_custkey", ["o_orderkey"], "o_orderkey", max_items=most)
+    assert docs.agg(F.sum("n_items")).first()[0] == orders.count()

@@ -113,9 +113,17 @@ def compose(spark: SparkSession, template: dict | list, sources: dict | None = N
 
 
 def compose_per_key(df: DataFrame, key, item_cols, order_by, name: str = "items",
-                    head_cols=()) -> DataFrame:
-    """One JSON document per key: ``{head…, name: [items in order]}``."""
+                    head_cols=(), max_items: int | None = None) -> DataFrame:
+    """One JSON document per key: ``{head…, name: [items in order]}``.
+
+    A document is one value built in one task; ``max_items`` first checks (one
+    small aggregate job, counts per key combined map-side) that no key has more
+    items than that, and raises instead of building such a document."""
     keys = [key] if isinstance(key, str) else list(key)
+    if max_items is not None:
+        worst = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+        if worst is not None and worst > max_items:
+            raise ValueError(f"a key has {worst} items, more than max_items={max_items}")
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     item = F.struct(*[F.col(c) for c in item_cols])
     grouped = group_collect(df, [*keys, *head_cols],
