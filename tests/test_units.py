@@ -305,3 +305,22 @@ def test_compose_per_key_item_guard(spark):
         compose.compose_per_key(orders, "o_custkey", ["o_orderkey"], "o_orderkey", max_items=most - 1)
     docs = compose.compose_per_key(orders, "o_custkey", ["o_orderkey"], "o_orderkey", max_items=most)
     assert docs.agg(F.sum("n_items")).first()[0] == orders.count()
+
+
+# F1 staged validation (segments + lambda checks above the generator) keeps schema order
+def test_staged_validation_matches_inline_order(spark):
+    schema = {"type": "object", "additionalProperties": False, "required": ["a", "tags"],
+              "properties": {"a": {"type": "string", "minLength": 2},
+                             "tags": {"type": "array", "minItems": 1, "items": {"type": "integer", "maximum": 5}},
+                             "b": {"type": "integer", "minimum": 0}}}
+    docs = ['{"a": "x", "tags": [1, 7, "q"], "b": -1, "zz": 1}', '{"a": "ok", "tags": [], "b": 3}',
+            '{"tags": [2], "b": "n"}', '{"a": 5}', 'not json', '{"a": "fine", "tags": [1, 2], "b": 0}']
+    df = spark.createDataFrame(list(enumerate(docs)), "id long, doc string")
+    staged = {r["id"]: r["errors"] for r in validate.validate(df, schema, text="doc").collect()}
+    check = validate.compile_schema(schema)
+    inline = {r["id"]: r["e"] for r in df.select("id", check(F.try_parse_json("doc")).alias("e")).collect()}
+    for i in range(len(docs)):
+        expected = inline[i] if docs[i] != "not json" else ["data must be valid JSON"]
+        assert staged[i] == expected, (i, staged[i], expected)
+    assert staged[0][0] == "data must NOT have additional properties"
+    assert staged[5] == []

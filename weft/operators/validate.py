@@ -94,13 +94,16 @@ def _fails(cond: Column, message: Column) -> Column:
     return F.when(cond, F.array(message)).otherwise(_no_errors())
 
 
-def _own_checks(v: Column, kind: Column, schema: dict, path: Column) -> list[Column]:
-    """Error-message arrays for the node's own keywords (not its properties)."""
+def _own_checks(v: Column, kind: Column, schema: dict, path: Column, tagged: bool = False) -> list:
+    """Error-message arrays for the node's own keywords (not its properties).
+    With ``tagged`` each comes as ``(column, uses_lambda)``: checks that need a
+    lambda (``items``, ``additionalProperties``) cannot be compiled to code."""
     unknown = set(schema) - _SUPPORTED - _ANNOTATIONS
     unknown = {k for k in unknown if not k.startswith("x-")}
     if unknown:
         raise UnsupportedSchema(f"unsupported JSON Schema keyword(s): {sorted(unknown)}")
     out: list[Column] = []
+    lambdas: set[int] = set()
     present = v.isNotNull()
     if "type" in schema:
         types = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
@@ -115,6 +118,7 @@ def _own_checks(v: Column, kind: Column, schema: dict, path: Column) -> list[Col
     if schema.get("additionalProperties") is False:
         keys = F.json_object_keys(F.to_json(v))
         extra = F.filter(keys, lambda k: ~k.isin(*props.keys())) if props else keys
+        lambdas.add(len(out))
         out.append(_fails(is_obj & (F.size(extra) > 0),
                                   _msg(path, MESSAGES["additionalProperties"])))
 
@@ -150,13 +154,14 @@ def _own_checks(v: Column, kind: Column, schema: dict, path: Column) -> list[Col
             msgs = _inline(x, item_schema, F.concat(path, F.lit("/"), i.cast("string")))
             return F.flatten(F.array(*msgs)) if msgs else _no_errors()
 
+        lambdas.add(len(out))
         out.append(F.coalesce(F.when(is_arr, F.flatten(F.transform(arr, per_item))), _no_errors()))
 
     if "enum" in schema:
         allowed = [json.dumps(x, separators=(",", ":"), sort_keys=True) for x in schema["enum"]]
         out.append(_fails(present & ~F.to_json(v).isin(*allowed),
                                   _msg(path, MESSAGES["enum"])))
-    return out
+    return [(c, i in lambdas) for i, c in enumerate(out)] if tagged else out
 
 
 def _inline(v: Column, schema: dict, path: Column) -> list[Column]:
@@ -199,18 +204,39 @@ def _check_frame(df: DataFrame, v: Column, schema: dict, errors: str) -> DataFra
                          for nid, names, _ in nodes[1:]})
     df = df.withColumns({f"_js{nid}": F.schema_of_variant(F.col(f"_jv{nid}")) for nid, _, _ in nodes})
     df = df.withColumns({f"_jk{nid}": _kind(F.col(f"_jv{nid}"), F.col(f"_js{nid}")) for nid, _, _ in nodes})
-    pieces = []
+    tagged = []
     for nid, names, sch in nodes:
         path = "".join("/" + n for n in names)
-        pieces += _own_checks(F.col(f"_jv{nid}"), F.col(f"_jk{nid}"), sch, F.lit(path))
-    empty = _no_errors()
-    msgs = F.flatten(F.array(*pieces)) if pieces else empty
-    # ``errors`` comes out of a one-row generator: a later filter on it (valid /
-    # rejected split) cannot be pushed below a generator's output, so Catalyst
-    # does not substitute the staged columns into the filter (which would
-    # re-parse every document once per reference instead of once).
-    df = df.withColumn("_errors", msgs)
-    return df.select(*base, F.inline(F.array(F.struct(F.col("_errors").alias(errors)))))
+        tagged += _own_checks(F.col(f"_jv{nid}"), F.col(f"_jk{nid}"), sch, F.lit(path), tagged=True)
+    # Runs of plain checks become segment arrays, computed with code generation;
+    # checks that need a lambda are evaluated above the generator, so they do
+    # not take the big projection out of code generation. Order is schema order.
+    segments, lambda_checks, order, run = {}, {}, [], []
+    for col, uses_lambda in [*tagged, (None, True)]:
+        if (uses_lambda or col is None) and run:
+            name = f"_seg{len(segments)}"
+            segments[name] = F.flatten(F.array(*run))
+            order.append(name)
+            run = []
+        if col is None:
+            break
+        if uses_lambda:
+            name = f"_lam{len(lambda_checks)}"
+            lambda_checks[name] = col
+            order.append(name)
+        else:
+            run.append(col)
+    # The segments come out of a one-row generator: a later filter on ``errors``
+    # (valid / rejected split) cannot be pushed below a generator's output, so
+    # Catalyst does not substitute the staged columns into the filter (which
+    # would re-parse every document once per reference instead of once).
+    staged = [c for c in df.columns if c.startswith(("_jv", "_jk"))] if lambda_checks else []
+    df = df.withColumns(segments) if segments else df.withColumn("_seg0", _no_errors())
+    names = list(segments) or ["_seg0"]
+    df = df.select(*base, *staged, F.inline(F.array(F.struct(*[F.col(n).alias(n) for n in names]))))
+    parts = [lambda_checks[n] if n in lambda_checks else F.col(n) for n in (order or names)]
+    msgs = F.flatten(F.array(*parts)) if len(parts) > 1 else parts[0]
+    return df.select(*base, msgs.alias(errors))
 
 
 def compile_schema(schema: dict | str):
