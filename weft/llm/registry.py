@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("quality", "mixing", "chat", "langid", "lm_score", "warc")
+MODULES = ("quality", "mixing", "chat", "langid", "lm_score", "warc", "near_dedup")
 
 
 def query(name: str, oracle: str | None = None):

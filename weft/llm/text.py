@@ -69,14 +69,14 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def slices(batches, column: str = "text", max_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each piece holds about ``max_bytes`` of text (one row at least)."""
+def slices(batches, column: str = "text", max_bytes: int = 1 << 21, max_rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each piece holds about ``max_bytes`` of text (one row at least) and few rows."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(size, dtype=np.int64) // max_bytes
+        part = np.cumsum(size, dtype=np.int64) // max_bytes + (np.arange(n) // max_rows << 32)
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield batch.slice(a, b - a)
