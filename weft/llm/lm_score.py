@@ -64,41 +64,13 @@ def tokens(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, T.mix(tail), words.first + np.arange(n + 1)
 
 
-class Vocabulary:
-    """Hash → number lookup of the frequent words: one probe into an open table, the rest sorted."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes
-        bits = max(10, int(len(hashes)).bit_length() + 3)
-        self.shift = np.uint64(64 - bits)
-        self.slots = np.full(1 << bits, -1, np.int32)
-        slot = (hashes >> self.shift).astype(np.int64)
-        self.slots[slot[::-1]] = np.arange(len(hashes), dtype=np.int32)[::-1]
-        lost = np.flatnonzero(self.slots[slot] != np.arange(len(hashes)))
-        lost = lost[np.argsort(hashes[lost])]
-        self.lost, self.lost_hash = lost, hashes[lost]
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Number of each hash, -1 if absent."""
-        if not len(self.hashes):
-            return np.full(len(h), -1, np.int64)
-        got = self.slots[h >> self.shift].astype(np.int64)
-        wrong = np.flatnonzero((got >= 0) & (self.hashes[got] != h))
-        got[wrong] = -1
-        if len(self.lost) and len(wrong):
-            at = np.minimum(np.searchsorted(self.lost_hash, h[wrong]), len(self.lost) - 1)
-            hit = self.lost_hash[at] == h[wrong]
-            got[wrong[hit]] = self.lost[at[hit]]
-        return got
-
-
 class Model:
     """What a scoring or training task needs: frequent words, their counts and classes, class shares, weights."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, n_tokens: int, n_types: int):
         order = np.lexsort((hashes, -counts))
         hashes, counts = hashes[order], counts[order]
-        self.vocabulary, self.counts = Vocabulary(hashes), counts
+        self.vocabulary, self.counts = T.HashIndex(hashes), counts
         self.n_tokens, self.n_types = n_tokens, n_types
         self.mass = n_tokens + 0.5 * (n_types + 1)
         own = counts + 0.5

@@ -6,7 +6,8 @@ import importlib
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("quality", "mixing", "chat", "langid", "lm_score", "warc", "near_dedup")
+MODULES = ("suffix_dedup", "langid", "lm_score", "substring_dedup", "quality", "decontam", "chat",
+           "near_dedup", "warc", "mixing")
 
 
 def query(name: str, oracle: str | None = None):
