@@ -39,7 +39,7 @@ from weft.sources.files import read_table
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5      # of the item's score against itself
 OVERLAP = 0.6        # share of the word pairs of question and answer
-ANSWER_WORDS = 5     # an answer has at least so many words, if need be of several sentences
+PART_WORDS = 5       # words of a question or an answer at least, if need be of several sentences
 ITEM_BLOCK = 20_000  # items indexed at once
 MAX_BLOCK = 16       # items that share one block maximum
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -52,13 +52,13 @@ def _hashes(text: str) -> np.ndarray:
 
 
 def question_answer(text: str) -> tuple[str, str]:
-    """The item's last sentences with ``ANSWER_WORDS`` words or more, and all before them; a single
-    sentence is cut after two thirds of its words."""
+    """The item's last sentences with ``PART_WORDS`` words or more, and all before them; where that
+    leaves too few words for a question, the text is cut after two thirds of its words."""
     parts = _SENTENCE.split(text.strip())
     cut = len(parts) - 1
-    while cut > 0 and len(" ".join(parts[cut:]).split()) < ANSWER_WORDS:
+    while cut > 0 and len(" ".join(parts[cut:]).split()) < PART_WORDS:
         cut -= 1
-    if cut > 0:
+    if len(" ".join(parts[:cut]).split()) >= PART_WORDS:
         return " ".join(parts[:cut]), " ".join(parts[cut:])
     words = text.split()
     cut = max(1, len(words) * 2 // 3)
@@ -194,7 +194,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document holds no test item."""
     gone = contaminated(docs, items).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 @query("op6_benchmark_decontamination")
