@@ -52,9 +52,9 @@ def source_targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     t = (t.withColumn("_left", F.sum("source_size").over(whole) - F.coalesce(F.sum(cap).over(so_far), F.lit(0)))
          .withColumn("_weights", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(so_far), F.lit(0)))
          .withColumn("_level", F.col("_left").cast("double") / F.col("_weights"))
-         .withColumn("_free", F.col("_level") * F.col("weight") <= cap))
+         .withColumn("_free", F.when(F.col("_level") * F.col("weight") <= cap, F.row_number().over(by_cap))))
     # The first source whose share at its own level is within its cap sets the level for it and all after it.
-    t = t.withColumn("_level", F.min_by("_level", F.when(F.col("_free"), cap / F.col("weight"))).over(whole))
+    t = t.withColumn("_level", F.min_by("_level", "_free").over(whole))
     target = F.least(cap.cast("double"), F.coalesce(F.col("_level") * F.col("weight"), cap.cast("double")))
     return t.withColumn("target", target).drop("_left", "_weights", "_level", "_free")
 
@@ -137,6 +137,53 @@ def mix(docs: DataFrame, **params) -> DataFrame:
     return plan_mix(docs, **params).drop("source")
 
 
-@query("op10_mixing")
+ORACLE = f"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+    md5('{SEED}' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, {MAX_REPEAT} * source_size AS cap FROM s
+), f AS (
+  SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0) AS DOUBLE)
+      / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level,
+    row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place
+  FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce(
+      (SELECT arg_min(level, place) FROM f WHERE level * weight <= cap) * weight, cap)) AS target,
+    CAST((source_size + 1 + {SHARD_WORDS} - 1) // {SHARD_WORDS} AS BIGINT) AS shards
+  FROM f
+), q AS (
+  SELECT source, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, source NULLS LAST) AS place
+  FROM t, (SELECT unnest(range(1, CAST((SELECT sum(target) FROM t) / {BLOCK_WORDS} AS BIGINT) + 1)) AS k)
+), b AS (
+  SELECT source, count(*) AS blocks FROM q
+  WHERE place <= (SELECT floor(sum(target) / {BLOCK_WORDS}) FROM t) GROUP BY source
+), p AS (
+  SELECT d.*, t.source_size, t.target, CAST('0x' || substr(k, 1, 8) AS BIGINT) % t.shards AS shard
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), u AS (
+  SELECT source, shard, CAST(sum(size) AS BIGINT) AS shard_size FROM p GROUP BY source, shard
+), r AS (
+  SELECT u.source, u.shard, row_number() OVER (
+      PARTITION BY u.source ORDER BY shard_size / (2 * k - 1) DESC, u.shard) AS place, b.blocks
+  FROM u JOIN b ON u.source IS NOT DISTINCT FROM b.source, LATERAL (SELECT unnest(range(1, b.blocks + 1)) AS k)
+), g AS (
+  SELECT u.source, u.shard, shard_size, {BLOCK_WORDS} * least(coalesce(n, 0), {MAX_REPEAT} * shard_size // {BLOCK_WORDS}) AS take
+  FROM u LEFT JOIN (SELECT source, shard, count(*) AS n FROM r WHERE place <= blocks GROUP BY source, shard) AS won
+    ON u.source IS NOT DISTINCT FROM won.source AND u.shard = won.shard
+)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN shard_size = 0 THEN 0 ELSE take // shard_size * size
+    + greatest(least(take - take // shard_size * shard_size - before, size), 0) END AS BIGINT) AS taken
+FROM (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY k, doc_id NULLS LAST, size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before FROM p) AS p
+JOIN g ON p.source IS NOT DISTINCT FROM g.source AND p.shard = g.shard
+"""
+
+
+@query("op10_mixing", ORACLE)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))

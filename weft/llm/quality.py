@@ -212,6 +212,36 @@ def score_quality(docs: DataFrame, rules=RULES) -> DataFrame:
     return spread_rows(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
-@query("op5_quality_rules")
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM windows) WHERE n > 1
+), inside AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id
+), s AS (
+  SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+    coalesce(inside.n, 0) AS n_repeat_words, len(l) AS n_lines,
+    length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(t, '[^a-z]', '', 'g')) AS lower,
+    length(regexp_replace(t, '[\x00-\x7F]', '', 'g')) AS wide, strlen(regexp_replace(t, '[\x00-\x7F]', '', 'g')) AS wide_bytes,
+    length(regexp_replace(t, '[^!]', '', 'g')) AS bangs, coalesce(list_sum(list_transform(w, lambda x: strlen(x))), 0) AS bytes
+  FROM d LEFT JOIN inside USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > 2 * n_words
+    OR (n_dup_lines > 1 AND 100 * n_dup_lines > 30 * n_lines) OR word_chars < 2 * n_words OR word_chars > 25 * n_words
+    OR upper > lower + wide OR 5 * bangs > n_words OR 2 * (upper + lower + wide_bytes) < bytes) AS kept
+FROM s
+"""
+
+
+@query("op5_quality_rules", ORACLE)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"))

@@ -141,9 +141,12 @@ def _words8(matrix: np.ndarray) -> list[np.ndarray]:
 
 def _take(data: np.ndarray, start: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
     """Byte ranges as rows of a matrix, padded with zeros."""
-    at = start[:, None] + np.arange(width)
-    out = data[np.minimum(at, max(len(data) - 1, 0))]
-    out[np.arange(width) >= length[:, None]] = 0
+    out = np.empty((len(start), width), np.uint8)
+    column = np.arange(width)
+    for a in range(0, len(start), 1 << 14):  # the matrix of positions is eight times the bytes
+        rows = slice(a, a + (1 << 14))
+        out[rows] = data[np.minimum(start[rows, None] + column, max(len(data) - 1, 0))]
+        out[rows][column >= length[rows, None]] = 0
     return out
 
 
