@@ -77,7 +77,7 @@ class Model:
         top = own.sum()
         self.word_class = np.minimum((np.cumsum(own) - own) * (CLASSES - 1) / max(top, 1e-9),
                                      CLASSES - 2).astype(np.int64)
-        share = np.bincount(self.word_class, own, CLASSES)
+        share = np.bincount(self.word_class, own, CLASSES).astype(float)
         share[CLASSES - 1] = self.mass - top
         share = np.maximum(share, 1e-300) / self.mass
         self.log_share = np.log(share).astype(np.float32)
