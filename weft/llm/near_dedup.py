@@ -11,10 +11,11 @@ a class, represented by its smallest id; only representatives are compared.
    samples differ, the occupied bins how many there are, and so the similarity to
    about 0.015. Inside a bucket, pairs estimated below ``THRESHOLD - SLACK`` are
    not candidates. Large buckets are compared block by block.
-3. Candidates are confirmed on the full sets of the whole texts. Only components
-   are asked for, so candidates are confirmed in three rounds: each document's
-   surest and its smallest partner; then the two best partners in every other
-   component; then every candidate that still lies between components.
+3. Candidates are joined into clusters: a bucket gives a star for each of its
+   connected groups, so a group of any size costs a row per member and bucket.
+4. Inside a cluster (again block by block when it is large) the candidates are
+   confirmed on the full sets of the whole texts, likeliest first. A pair that
+   confirmed links already connect needs no check; every other one gets it.
 
 Defined results: null and empty texts, and texts without words, have an empty set
 and are linked with nothing; fewer than five words make one shingle; rows with a
@@ -39,9 +40,11 @@ from weft.sources.files import read_table
 SHINGLE = 5
 THRESHOLD = 75              # per cent of the union that two sets must share
 BANDS, BAND_ROWS = 32, 4
-BINS = 1024                 # samples and parity bits of a sketch
+BINS = 1024                 # MinHash samples of a sketch
+BITS = 2048                 # parity bits they are folded into
 SLACK = 0.07                # over four standard errors of the estimate
-BLOCK = 2048                # rows of a bucket compared at once
+BLOCK = 2048                # rows of a bucket or cluster compared at once
+BLOCK_BYTES = 16 << 20      # and the text of a cluster's rows held at once
 _SEEDS = T.mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 _MARK = T.mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(1 << 20))
 
@@ -79,7 +82,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             begin = first[:-1][some]
             bands = np.zeros((len(some), BANDS), np.uint64)
             low, high = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            odd, used = np.zeros((n, BINS // 8), np.uint8), np.zeros((n, BINS // 8), np.uint8)
+            odd, used = np.zeros((n, BITS // 8), np.uint8), np.zeros((n, BINS // 8), np.uint8)
             if len(some):
                 for k, seed in enumerate(_SEEDS):
                     least = np.minimum.reduceat(shingle * seed, begin)
@@ -111,139 +114,154 @@ def sketches(shingle: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray
     taken = np.zeros(n * BINS, bool)
     taken[cell] = True
     at = np.flatnonzero(taken)
-    bit = (at // BINS) * BINS + (T.mix(least[at]) & np.uint64(BINS - 1)).astype(np.int64)
-    parity = np.bincount(bit, minlength=n * BINS) & 1
-    return (np.packbits(parity.astype(bool).reshape(n, BINS), axis=1),
+    bit = (at // BINS) * BITS + (T.mix(least[at]) & np.uint64(BITS - 1)).astype(np.int64)
+    parity = np.bincount(bit, minlength=n * BITS) & 1
+    return (np.packbits(parity.astype(bool).reshape(n, BITS), axis=1),
             np.packbits(taken.reshape(n, BINS), axis=1))
 
 
 def estimate(odd_a, odd_b, used_a, used_b) -> np.ndarray:
     """Similarity from bitmaps given as uint64 words along the last axis."""
     differ = np.bitwise_count(odd_a ^ odd_b).sum(-1, dtype=np.int64)
-    differ = -BINS / 2 * np.log1p(-2 * np.minimum(differ, BINS / 2 - 1) / BINS)
+    differ = -BITS / 2 * np.log1p(-2 * np.minimum(differ, BITS / 2 - 1) / BITS)
     samples = np.bitwise_count(used_a).sum(-1, dtype=np.int64) + np.bitwise_count(used_b).sum(-1, dtype=np.int64)
     union = np.bitwise_count(used_a | used_b).sum(-1, dtype=np.int64)
     return (samples - differ) / 2 / np.maximum(union, 1)
 
 
-def _bucket_pairs(group: np.ndarray, side: np.ndarray, label: np.ndarray, odd: np.ndarray, used: np.ndarray):
-    """(i, j, similarity) of the candidate pairs inside groups of rows (``group`` is sorted).
-    Rows of different ``side`` come from two blocks: only pairs across them count."""
+def _pairs(odd: np.ndarray, used: np.ndarray, i: np.ndarray, j: np.ndarray):
+    """Those of the given pairs of rows that are candidates, with their estimated similarity."""
+    value = np.concatenate([estimate(odd[x], odd[y], used[x], used[y]) for x, y in (
+        (i[a:a + (1 << 15)], j[a:a + (1 << 15)]) for a in range(0, len(i), 1 << 15))] or [np.zeros(0)])
+    good = value >= THRESHOLD / 100 - SLACK
+    return i[good], j[good], value[good]
+
+
+def _candidates(group: np.ndarray, odd: np.ndarray, used: np.ndarray):
+    """(i, j, similarity) of the candidate pairs inside runs of equal ``group``."""
     edges = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     size = np.diff(np.append(edges, len(group)))
     found = []
-
-    def keep(i, j):
-        ok = (label[i] != label[j]) & ((side[i] < 0) | (side[i] != side[j]))
-        i, j = i[ok], j[ok]
-        for a in range(0, len(i), 1 << 16):
-            x, y = i[a:a + (1 << 16)], j[a:a + (1 << 16)]
-            value = estimate(odd[x], odd[y], used[x], used[y])
-            good = value >= THRESHOLD / 100 - SLACK
-            found.append((x[good], y[good], value[good]))
-
     small = np.repeat(size <= 64, size)
     for step in range(1, min(64, size.max(initial=0))):
         at = np.flatnonzero((group[step:] == group[:-step]) & small[step:])
-        keep(at, at + step)
+        found.append(_pairs(odd, used, at, at + step))
     for start, n in zip(edges[size > 64], size[size > 64]):
         rows = np.arange(start, start + n)
         for a in range(0, n, 32):
             i, j = np.nonzero(rows[a:a + 32, None] < rows[None, :])
-            keep(rows[a:a + 32][i], rows[j])
-    if not found:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-    return tuple(np.concatenate(x) for x in zip(*found))
-
-
-def _heads(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """True where a run of equal keys begins in the given order."""
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    return new
-
-
-def _pick(mode: str, u, v, label_u, label_v, value):
-    """Which candidate rows of a bucket a round confirms; every pair is given in both directions."""
-    if mode == "all":
-        return np.flatnonzero(u < v)
-    if mode == "other":  # the two best pairs between two components
-        once = np.flatnonzero(label_u < label_v)
-        order = once[np.lexsort((v[once], u[once], -value[once], label_v[once], label_u[once]))]
-        new = _heads(order, label_u, label_v)
-        second = np.append(False, new[:-1] & ~new[1:]) if len(new) else new
-        return order[new | second]
-    best = np.lexsort((v, -value, u))
-    sure = np.flatnonzero(value >= THRESHOLD / 100 + SLACK)
-    least = sure[np.lexsort((v[sure], u[sure]))]
-    return np.union1d(best[_heads(best, u)], least[_heads(least, u)])
-
-
-def candidates(buckets: DataFrame, sketch: DataFrame, mode: str) -> DataFrame:
-    """Candidate pairs of one round from ``(key, rep, label)`` and ``(rep, odd, used)``: ``u < v``, ``value``."""
-    def run(batches):
-        held = None
-        for batch in batches:
-            held = pa.concat_batches([held, batch]) if held is not None else batch
-            key = held.column(0).to_numpy()
-            part = held.column(1).to_numpy()
-            last = np.flatnonzero((key != key[-1]) | (part != part[-1]))
-            cut = last[-1] + 1 if len(last) else 0
-            if cut:
-                yield pairs(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield pairs(held)
-
-    def pairs(rows):  # whole buckets
-        key, part, side, rep, label = (rows.column(i).to_numpy() for i in range(5))
-        odd, used = (np.frombuffer(b"".join(rows.column(i).to_pylist()), np.uint64).reshape(len(key), -1)
-                     for i in (5, 6))
-        group = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
-        i, j, value = _bucket_pairs(group, side, label, odd, used)
-        u, v = np.concatenate([rep[i], rep[j]]), np.concatenate([rep[j], rep[i]])
-        label_u, label_v = np.concatenate([label[i], label[j]]), np.concatenate([label[j], label[i]])
-        value = np.concatenate([value, value])
-        # buckets are picked from one by one: their number keeps equal documents of two buckets apart
-        at = _pick(mode, u, v, label_u, label_v, value)
-        return pa.RecordBatch.from_arrays([T.int_array(np.minimum(u[at], v[at])),
-                                           T.int_array(np.maximum(u[at], v[at])), pa.array(value[at])],
-                                          ["u", "v", "value"])
-
-    # Only buckets that hold two components. Of a bucket of more than BLOCK rows, every row goes to
-    # the block pairs of its block.
-    stats = (buckets.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("a"), F.max("label").alias("b"))
-             .where("a <> b").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("_g")))
-    rows = buckets.join(stats, "key").join(sketch, "rep")
+            found.append(_pairs(odd, used, rows[a:a + 32][i], rows[j]))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip((none, none, np.zeros(0)), *found))
+
+
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest row connected to each of ``n`` rows by the pairs."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, i, root[j])
+        np.minimum.at(new, j, root[i])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _whole(batches, keys: int):
+    """Batches that hold all rows of the groups they touch, from rows sorted by the first ``keys`` columns."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = batch if held is None else pa.concat_batches([held, batch])
+        values = [held.column(k).to_numpy() for k in range(keys)]
+        other = np.flatnonzero(np.any([v != v[-1] for v in values], axis=0))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield held.slice(0, cut)
+            held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _bitmaps(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _dealt(rows: DataFrame, key: str, blocks) -> DataFrame:
+    """Rows dealt by ``key`` and ``part``. A key of several blocks has a part for every two of its
+    blocks, and a row is in the parts of its own block."""
     mine = F.pmod(F.xxhash64("rep"), F.col("_g")).cast("int")
-    rows = rows.withColumn("_b", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
-    part = F.least("_b", "_o") * 100_000 + F.greatest("_b", "_o")
-    side = F.when(F.col("_b") == F.col("_o"), F.lit(-1)).otherwise((F.col("_b") > F.col("_o")).cast("int"))
-    rows = rows.select("key", part.alias("part"), side.alias("side"), "rep", "label", "odd", "used")
-    found = (rows.repartition("key", "part").sortWithinPartitions("key", "part", "rep")
-             .mapInArrow(run, "u long, v long, value double"))
-    return found.groupBy("u", "v").agg(F.max("value").alias("value"))
+    other = F.explode(F.when(F.col("_g") == 1, F.array(F.lit(0)))
+                      .otherwise(F.filter(F.sequence(F.lit(0), F.col("_g") - 1), lambda x: x != F.col("_b"))))
+    part = (F.least("_b", "_o") * F.col("_g") + F.greatest("_b", "_o")).alias("part")
+    return (rows.withColumn("_g", blocks.cast("int")).withColumn("_b", mine).withColumn("_o", other)
+            .withColumn("part", part).drop("_g", "_b", "_o").repartition(key, "part")
+            .sortWithinPartitions(key, "part", "rep"))
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``(u, v)`` with ``linked``: whether the full sets of the whole texts reach the threshold."""
+def clusters(buckets: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(rep, cluster): the connected groups of candidate pairs, from ``(key, rep)`` and ``(rep, odd, used)``."""
+    def run(batches):
+        for rows in _whole(batches, 2):
+            key, part, rep = (rows.column(k).to_numpy() for k in range(3))
+            group = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
+            i, j, _ = _candidates(group, _bitmaps(rows.column(3)), _bitmaps(rows.column(4)))
+            root = _roots(len(rep), i, j)
+            at = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_arrays([T.int_array(rep[at]), T.int_array(rep[root[at]])], ["u", "v"])
+
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("_m"))
+    rows = buckets.join(sizes, "key").join(sketch, "rep")
+    rows = _dealt(rows, "key", F.ceil(F.col("_m") / BLOCK)).select("key", "part", "rep", "odd", "used")
+    return components(rows.mapInArrow(run, "u long, v long")).select(
+        F.col("node").alias("rep"), F.col("component").alias("cluster"))
+
+
+def _linked(rep: np.ndarray, odd: np.ndarray, used: np.ndarray, text) -> list[tuple[int, int]]:
+    """Confirmed links that connect all that is linked among the rows: at most one less than rows."""
+    i, j, value = _candidates(np.zeros(len(rep), np.int64), odd, used)
+    order = np.argsort(-value, kind="stable")
+    shingle, first = sets(text)
+    parent, out = list(range(len(rep))), []
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in zip(i[order].tolist(), j[order].tolist()):
+        x, y = find(a), find(b)
+        if x == y:
+            continue
+        one, two = shingle[first[a]:first[a + 1]], shingle[first[b]:first[b + 1]]
+        both = len(np.intersect1d(one, two, assume_unique=True))
+        if both and 100 * both >= THRESHOLD * (len(one) + len(two) - both):
+            parent[max(x, y)] = min(x, y)
+            out.append((int(rep[a]), int(rep[b])))
+    return out
+
+
+def links(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Confirmed links ``(u, v)`` inside the clusters, from ``(rep, cluster, odd, used)`` and the whole texts."""
     def run(batches):
-        for batch in batches:
-            for piece in T.slices(T.slices([batch], "a"), "b"):
-                a, first_a = sets(piece.column(2))
-                b, first_b = sets(piece.column(3))
-                linked = np.zeros(piece.num_rows, bool)
-                for k in range(piece.num_rows):
-                    x, y = a[first_a[k]:first_a[k + 1]], b[first_b[k]:first_b[k + 1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    linked[k] = both > 0 and 100 * both >= THRESHOLD * (len(x) + len(y) - both)
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(linked)],
-                                                 ["u", "v", "linked"])
-
-    left = texts.select(F.col("rep").alias("u"), F.col("text").alias("a"))
-    right = texts.select(F.col("rep").alias("v"), F.col("text").alias("b"))
-    return (pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b")
-            .mapInArrow(run, "u long, v long, linked boolean"))
+        for rows in _whole(batches, 2):
+            key, part, rep = (rows.column(k).to_numpy() for k in range(3))
+            cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
+            odd, used, out = _bitmaps(rows.column(3)), _bitmaps(rows.column(4)), []
+            for a, b in zip(cuts, np.append(cuts[1:], len(key))):
+                out += _linked(rep[a:b], odd[a:b], used[a:b], rows.column(5).slice(a, b - a))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["u", "v"])
+
+    rows = docs.join(members, docs["doc_id"] == members["rep"]).select("cluster", "rep", "odd", "used", "text")
+    rows = cut_lineage(rows)
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("_m"), F.sum(F.octet_length("text")).alias("_n"))
+    blocks = F.greatest(F.ceil(F.col("_m") / BLOCK), F.ceil(F.col("_n") / BLOCK_BYTES))
+    return (_dealt(rows.join(sizes, "cluster"), "cluster", blocks)
+            .select("cluster", "part", "rep", "odd", "used", "text").mapInArrow(run, "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -262,24 +280,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = cut_lineage(keyed.join(shared, "key"))
     sketch = reps.select("rep", "odd", "used")
 
-    found = cut_lineage(candidates(buckets.withColumn("label", F.col("rep")), sketch, "first"))
-    ends = found.select("u", "v", "value").union(found.select("v", "u", "value"))
-    sure = F.col("value") >= THRESHOLD / 100 + SLACK
-    best = ends.groupBy("u").agg(F.max_by("v", F.struct("value", -F.col("v"))).alias("best"),
-                                 F.min(F.when(sure, F.col("v"))).alias("least"))
-    # every document with a candidate is an end of one of these
-    texts = cut_lineage(docs.join(best.select(F.col("u").alias("doc_id")), "doc_id", "left_semi")
-                        .withColumnRenamed("doc_id", "rep"))
-    found = (best.select("u", F.explode(F.array("best", "least")).alias("v")).where("v is not null")
-             .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    tested = cut_lineage(confirm(found, texts))
-    for mode in ("other", "all"):
-        label = cut_lineage(components(tested.where("linked").select("u", "v")))
-        rows = buckets.join(label.withColumnRenamed("node", "rep"), "rep", "left")
-        rows = rows.select("key", "rep", F.coalesce("component", "rep").alias("label"))
-        found = candidates(rows, sketch, mode).join(tested.select("u", "v"), ["u", "v"], "left_anti")
-        tested = cut_lineage(tested.union(confirm(found, texts)))
-    groups = components(tested.where("linked").select("u", "v")).withColumnRenamed("node", "rep")
+    members = clusters(buckets, sketch).join(sketch, "rep")
+    groups = components(links(members, docs)).withColumnRenamed("node", "rep")
 
     out = signed.select("doc_id", *one_set).join(reps.select(*one_set, "rep"), one_set, "left").join(groups, "rep", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
