@@ -13,9 +13,10 @@ a class, represented by its smallest id; only representatives are compared.
    not candidates. Large buckets are compared block by block.
 3. Candidates are joined into clusters: a bucket gives a star for each of its
    connected groups, so a group of any size costs a row per member and bucket.
-4. Inside a cluster (again block by block when it is large) the candidates are
-   confirmed on the full sets of the whole texts, likeliest first. A pair that
-   confirmed links already connect needs no check; every other one gets it.
+4. Inside a cluster (again block by block when it is large) candidates are confirmed
+   on the full sets of the whole texts. A document that has joined a component is
+   compared only with those that have not; every candidate between two
+   components is checked.
 
 Defined results: null and empty texts, and texts without words, have an empty set
 and are linked with nothing; fewer than five words make one shingle; rows with a
@@ -43,6 +44,7 @@ BANDS, BAND_ROWS = 32, 4
 BINS = 1024                 # MinHash samples of a sketch
 BITS = 2048                 # parity bits they are folded into
 SLACK = 0.07                # over four standard errors of the estimate
+SMALL = 64                  # rows of a bucket whose pairs are all looked at
 BLOCK = 2048                # rows of a bucket or cluster compared at once
 BLOCK_BYTES = 16 << 20      # and the text of a cluster's rows held at once
 _SEEDS = T.mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -129,30 +131,36 @@ def estimate(odd_a, odd_b, used_a, used_b) -> np.ndarray:
     return (samples - differ) / 2 / np.maximum(union, 1)
 
 
-def _pairs(odd: np.ndarray, used: np.ndarray, i: np.ndarray, j: np.ndarray):
-    """Those of the given pairs of rows that are candidates, with their estimated similarity."""
-    value = np.concatenate([estimate(odd[x], odd[y], used[x], used[y]) for x, y in (
-        (i[a:a + (1 << 15)], j[a:a + (1 << 15)]) for a in range(0, len(i), 1 << 15))] or [np.zeros(0)])
-    good = value >= THRESHOLD / 100 - SLACK
-    return i[good], j[good], value[good]
+def _near(odd: np.ndarray, used: np.ndarray, i, j) -> np.ndarray:
+    """Which rows ``i`` and ``j`` are candidates."""
+    return estimate(odd[i], odd[j], used[i], used[j]) >= THRESHOLD / 100 - SLACK
+
+
+def _grown(n: int, near) -> list[tuple[int, int]]:
+    """Pairs that connect all of ``n`` rows that ``near(row, others)`` connects; it returns those of the
+    ``others`` that are. A group grows from one row; a row that has joined is compared only with
+    rows that have not, so a tight group costs a comparison per member."""
+    out, free = [], np.arange(n)
+    while len(free):
+        queue, free = [int(free[0])], free[1:]
+        while queue and len(free):
+            row = queue.pop()
+            joined = near(row, free)
+            if len(joined):
+                out += [(row, int(x)) for x in joined]
+                queue += joined.tolist()
+                free = np.setdiff1d(free, joined, assume_unique=True)
+    return out
 
 
-def _candidates(group: np.ndarray, odd: np.ndarray, used: np.ndarray):
-    """(i, j, similarity) of the candidate pairs inside runs of equal ``group``."""
-    edges = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    size = np.diff(np.append(edges, len(group)))
-    found = []
-    small = np.repeat(size <= 64, size)
-    for step in range(1, min(64, size.max(initial=0))):
+def _small_pairs(group: np.ndarray, size: np.ndarray, odd: np.ndarray, used: np.ndarray):
+    """Candidate pairs (i, j) inside runs of equal ``group`` of at most ``SMALL`` rows, for all runs at once."""
+    small, found = np.repeat(size <= SMALL, size), [(np.zeros(0, np.int64),) * 2]
+    for step in range(1, min(SMALL, size.max(initial=0))):
         at = np.flatnonzero((group[step:] == group[:-step]) & small[step:])
-        found.append(_pairs(odd, used, at, at + step))
-    for start, n in zip(edges[size > 64], size[size > 64]):
-        rows = np.arange(start, start + n)
-        for a in range(0, n, 32):
-            i, j = np.nonzero(rows[a:a + 32, None] < rows[None, :])
-            found.append(_pairs(odd, used, rows[a:a + 32][i], rows[j]))
-    none = np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip((none, none, np.zeros(0)), *found))
+        at = at[_near(odd, used, at, at + step)]
+        found.append((at, at + step))
+    return (np.concatenate(x) for x in zip(*found))
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -207,10 +215,19 @@ def clusters(buckets: DataFrame, sketch: DataFrame) -> DataFrame:
         for rows in _whole(batches, 2):
             key, part, rep = (rows.column(k).to_numpy() for k in range(3))
             group = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
-            i, j, _ = _candidates(group, _bitmaps(rows.column(3)), _bitmaps(rows.column(4)))
-            root = _roots(len(rep), i, j)
+            odd, used = _bitmaps(rows.column(3)), _bitmaps(rows.column(4))
+            cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            size = np.diff(np.append(cuts, len(group)))
+            root = _roots(len(rep), *_small_pairs(group, size, odd, used))
             at = np.flatnonzero(root != np.arange(len(root)))
-            yield pa.RecordBatch.from_arrays([T.int_array(rep[at]), T.int_array(rep[root[at]])], ["u", "v"])
+            u, v = [rep[at]], [rep[root[at]]]
+            for a, n in zip(cuts[size > SMALL], size[size > SMALL]):
+                pairs = _grown(n, lambda i, j, a=a: j[_near(odd, used, a + i, a + j)])
+                if pairs:
+                    i, j = np.array(pairs).T
+                    u.append(rep[a + i])
+                    v.append(rep[a + j])
+            yield pa.RecordBatch.from_arrays([T.int_array(np.concatenate(u)), T.int_array(np.concatenate(v))], ["u", "v"])
 
     sizes = buckets.groupBy("key").agg(F.count("*").alias("_m"))
     rows = buckets.join(sizes, "key").join(sketch, "rep")
@@ -221,27 +238,19 @@ def clusters(buckets: DataFrame, sketch: DataFrame) -> DataFrame:
 
 def _linked(rep: np.ndarray, odd: np.ndarray, used: np.ndarray, text) -> list[tuple[int, int]]:
     """Confirmed links that connect all that is linked among the rows: at most one less than rows."""
-    i, j, value = _candidates(np.zeros(len(rep), np.int64), odd, used)
-    order = np.argsort(-value, kind="stable")
     shingle, first = sets(text)
-    parent, out = list(range(len(rep))), []
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    for a, b in zip(i[order].tolist(), j[order].tolist()):
-        x, y = find(a), find(b)
-        if x == y:
-            continue
-        one, two = shingle[first[a]:first[a + 1]], shingle[first[b]:first[b + 1]]
-        both = len(np.intersect1d(one, two, assume_unique=True))
-        if both and 100 * both >= THRESHOLD * (len(one) + len(two) - both):
-            parent[max(x, y)] = min(x, y)
-            out.append((int(rep[a]), int(rep[b])))
-    return out
+    def near(row, others):
+        mine = shingle[first[row]:first[row + 1]]
+        joined = []
+        for other in others[_near(odd, used, row, others)].tolist():
+            theirs = shingle[first[other]:first[other + 1]]
+            both = len(np.intersect1d(mine, theirs, assume_unique=True))
+            if both and 100 * both >= THRESHOLD * (len(mine) + len(theirs) - both):
+                joined.append(other)
+        return np.array(joined, np.int64)
+
+    return [(int(rep[i]), int(rep[j])) for i, j in _grown(len(rep), near)]
 
 
 def links(members: DataFrame, docs: DataFrame) -> DataFrame:
