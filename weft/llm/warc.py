@@ -32,6 +32,7 @@ from bisect import bisect_right
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,18 +70,25 @@ def _header(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """(page_id, record): the WARC record of every page without its closing blank lines."""
-    rows = spread_rows(pages.select("page_id", "url", "html")).withColumn(
-        "html", F.coalesce(F.col("html").cast("string"), F.lit("")))
+def records(pages: DataFrame, scratch: str) -> DataFrame:
+    """(page_id, record): the WARC record of every page without its closing blank lines.
+
+    The table of revisits is written to ``scratch`` and read again, so Spark knows its size: it is
+    broadcast below the session's threshold, and joined by a shuffle of the pages beyond."""
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = spread_rows(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("n", F.octet_length("html"))
-    # Only digests that occur twice take part in the join; ids and digests are narrow.
-    keep = (rows.where(F.col("n") >= MIN_DEDUP).groupBy("digest", "n")
-            .agg(F.max("page_id").alias("keeper"), F.count("*").alias("times"))
-            .where((F.col("times") > 1) & F.col("keeper").isNotNull())
-            .select(F.col("digest").alias("_d"), F.col("n").alias("_n"), "keeper"))
-    rows = rows.join(keep, (F.col("digest") == F.col("_d")) & (F.col("n") == F.col("_n")), "left")
-    revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
+    rows = rows.withColumn("place", F.coalesce("page_id", F.xxhash64("html")))  # rows without an id are dealt too
+    # Duplicates are found on ids and digests alone; the payloads move once, to their archive.
+    narrow = cut_lineage(rows.where(F.col("n") >= MIN_DEDUP).select("place", "page_id", "digest"))
+    keep = (narrow.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("times"))
+            .where((F.col("times") > 1) & F.col("keeper").isNotNull()).select("digest", "keeper"))
+    again = (narrow.join(keep, "digest").where(~F.col("page_id").eqNullSafe(F.col("keeper")))
+             .select("place", "digest", "keeper").distinct())
+    again.write.parquet(scratch)
+    again = pages.sparkSession.read.schema(again.schema).parquet(scratch)
+    rows = rows.join(again, ["place", "digest"], "left")
+    revisit = F.col("keeper").isNotNull()
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
@@ -96,11 +104,12 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Write the pages' records as ``.warc`` content under ``path``, about ``ARCHIVE_BYTES`` a file."""
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    n_files = max(1, -(-total // ARCHIVE_BYTES))
-    (records(pages).repartition(int(n_files), F.xxhash64("page_id", F.xxhash64("record"))).select("record")
-     .write.option("lineSep", END).option("compression", "none").text(path))
+    """Write the pages' records as files under ``path``, about ``ARCHIVE_BYTES`` of payload each."""
+    n, total, largest = (x or 0 for x in pages.agg(
+        F.count("*"), F.sum(F.octet_length("html")), F.max(F.octet_length("html"))).first())
+    per_file = min(n * ARCHIVE_BYTES // max(total, ARCHIVE_BYTES), (1 << 30) // max(largest, 1))  # never over 1 GB
+    (records(pages, f"{path}-revisits").select("record").write.option("lineSep", END).option("compression", "none")
+     .option("maxRecordsPerFile", max(1, per_file)).text(path))
 
 
 def parse_header(block: bytes) -> dict[str, str]:
@@ -243,28 +252,41 @@ def look_up(wanted: DataFrame, spark: SparkSession, index: str, tops: list) -> D
             .mapInArrow(search, "page_id long, file string, offset long, length long"))
 
 
-def read_ranges(found: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    """Read the byte ranges and return each record's fields, checking stored payloads against their digest."""
+def read_ranges(found: DataFrame, path: str) -> DataFrame:
+    """Read the byte ranges and return each record's fields, checking stored payloads against their digest.
+
+    Tasks open the archives themselves, so ``path`` must be on a store that ``pyarrow.fs`` opens."""
+    root = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    root = re.sub(r"^file:/+", "file:///", root)
+
     def read(batches):
+        store, base = fs.FileSystem.from_uri(root)
+        name, file = None, None
         for batch in batches:
-            for content, spans in zip(batch.column(0), batch.column(1)):
-                content, out = content.as_buffer(), []
-                for span in spans.as_py():
-                    record = content[span["offset"]:span["offset"] + span["length"]].to_pybytes()
-                    head, payload = record.split(b"\r\n\r\n", 1)
-                    h = parse_header(head)
-                    digest, kind = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"]
-                    n = int(h.get("X-Payload-Length", len(payload)))
-                    if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
-                        raise ValueError("payload does not match its digest")
-                    out.append((_page(h), n, digest, kind, _page(h, "WARC-Refers-To"), h.get("WARC-Target-URI")))
+            out = []
+            for archive, at, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if archive != name:
+                    if file is not None:
+                        file.close()
+                    name, file = archive, store.open_input_file(f"{base}/{archive}")
+                out.append(fields(file.read_at(n, at)))
+            if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string(),
                                                                 pa.int64(), pa.string()))],
                     ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
-    spans = found.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("spans"))
-    return (_archives(spark, path).join(spans, "file").select("content", "spans").mapInArrow(
+    def fields(record: bytes):
+        head, payload = record.split(b"\r\n\r\n", 1)
+        h = parse_header(head)
+        digest, kind = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"]
+        if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
+            raise ValueError("payload does not match its digest")
+        n = int(h.get("X-Payload-Length", len(payload)))
+        return _page(h), n, digest, kind, _page(h, "WARC-Refers-To"), h.get("WARC-Target-URI")
+
+    # the ranges of an archive are read in order, by one task
+    return (found.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset").mapInArrow(
         read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"))
 
 
@@ -290,4 +312,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_archives(pages, f"{root}/archives")
     tops = build_index(spark, f"{root}/archives", f"{root}/index")
     found = look_up(pages, spark, f"{root}/index", tops)
-    return read_ranges(found, spark, f"{root}/archives").drop("url")
+    return read_ranges(found, f"{root}/archives").drop("url")
