@@ -20,8 +20,9 @@ smaller id is removed. Not every suffix is shipped:
 * Hot passages. A task first resolves equal suffixes among the rows it sees, so a
   passage in a third of all documents sends one suffix per slice of rows.
 
-The texts are dealt by document once and that exchange serves pruning, shipping and
-the removal.
+The texts are dealt to shards of documents once; that exchange serves pruning, shipping
+and the removal. What the buckets tell a shard (shared hashes, byte ranges) travels as a
+packed row per bucket and shard.
 
 Defined results: null and empty texts have 0 bytes; a null id takes no part and loses
 nothing; rows that repeat an id are compared with smaller ids only, never with
@@ -49,17 +50,20 @@ GRAMS = LENGTH - GRAM + 1      # grams in a window
 BUCKET_BYTES = 16 << 20        # text behind one bucket
 SAMPLE_ROWS = 2000             # texts whose anchors give the splitters
 CHUNK = 1 << 18                # windows sorted at once
-_KEY = ["doc_id", "tag"]       # a row's id and the hash of its text
+SLICE_BYTES = 1 << 20          # text whose anchors are found at once
+SHARD_BYTES = 4 << 20          # text of the documents handled together
 _MAX = np.iinfo(np.uint64).max
 
 
 def _sliding(values: np.ndarray, width: int, op) -> np.ndarray:
     """op over [i, i + width) for every i; values past the end are left out."""
-    out, span = values, 1
+    out, spare, span = values.copy(), np.empty_like(values), 1
     while span < width:
-        step = min(span, width - span)
-        out = np.append(op(out[:-step], out[step:]), out[len(out) - step:]) if len(out) > step else out
-        span += step
+        step = min(span, width - span, len(out))
+        op(out[:len(out) - step], out[step:], out=spare[:len(out) - step])
+        spare[len(out) - step:] = out[len(out) - step:]
+        out, spare = spare, out
+        span += step or width
     return out
 
 
@@ -67,10 +71,10 @@ class Anchors:
     """Selected places of a slice of texts: ``place`` (byte), ``first``/``last`` window start that selects it,
     ``doc`` (row) and the gram's hash."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, known: np.ndarray | bool = True):
         n = len(data)
         starts = np.zeros(0, np.int64)
-        long_ = np.flatnonzero(np.diff(offsets) >= LENGTH)
+        long_ = np.flatnonzero((np.diff(offsets) >= LENGTH) & known)
         self.place = self.first = self.last = self.doc = starts
         self.hash = np.zeros(0, np.uint64)
         self.acc = None
@@ -170,9 +174,9 @@ def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
 def _hash_rows(n_buckets: int):
     """Per slice and bucket: the low halves of its anchors' hashes with their rows."""
     def run(batches):
-        for batch in T.slices(batches):
+        for batch in T.slices(batches, max_bytes=SLICE_BYTES):
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            anchors = Anchors(*T.utf8(batch.column(2)))
+            anchors = Anchors(*T.utf8(batch.column(2)), batch.column(3).is_valid().to_numpy(zero_copy_only=False))
             if not len(anchors.hash):
                 continue
             bucket = ((anchors.hash >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
@@ -218,117 +222,145 @@ def _column(pieces, index: int, kind) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), kind), np.array([len(x) // size for x in raw], np.int64)
 
 
-def _shared_hashes(batches):
-    """Per document: the low hashes of its anchors that two documents have."""
-    for pieces in _by_bucket(batches):
-        low, n = _column(pieces, 1, np.uint32)
-        row, _ = _column(pieces, 2, np.uint16)
-        ids, k = _column(pieces, 3, np.int64)
-        tags, _ = _column(pieces, 4, np.int64)
-        owner = row.astype(np.int64) + np.repeat(np.cumsum(k) - k, n)
-        order = np.argsort(low, kind="stable")
-        value, doc = low[order], ids[owner[order]]
-        head = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-        many = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
-        keep = order[np.repeat(many, np.diff(np.append(head, len(value))))]
-        keep = keep[np.argsort(owner[keep], kind="stable")]
-        if not len(keep):
-            continue
-        cuts = np.flatnonzero(np.append(True, owner[keep][1:] != owner[keep][:-1]))
-        who = owner[keep][cuts]
-        chunks = np.split(low[keep], cuts[1:])
-        yield pa.RecordBatch.from_arrays(
-            [T.int_array(ids[who]), T.int_array(tags[who]), pa.array([c.tobytes() for c in chunks], pa.binary())],
-            ["doc_id", "tag", "low"])
+_PACKED = "shard long, ids binary, tags binary, counts binary, data binary"
+
+
+def _packed(ids: np.ndarray, tags: np.ndarray, counts: np.ndarray, data: np.ndarray, n_shards: int) -> pa.RecordBatch:
+    """A row per shard with its documents' numbers: ``counts`` of them each, together in ``data``."""
+    shard = np.mod(tags, n_shards)
+    order = np.argsort(shard, kind="stable")
+    base = np.cumsum(counts) - counts
+    sizes = counts[order]
+    at = np.repeat(base[order] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    data, shard = data[at].astype(np.uint32), shard[order]
+    cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
+    ends = np.cumsum(sizes)
+    parts = np.split(data, ends[cuts[1:] - 1]) if len(cuts) else []
+    binary = lambda xs: pa.array([x.tobytes() for x in xs], pa.binary())
+    split = lambda x: np.split(x[order], cuts[1:]) if len(cuts) else []
+    return pa.RecordBatch.from_arrays(
+        [T.int_array(shard[cuts].astype(np.int64)), binary(split(ids)), binary(split(tags)),
+         binary(split(counts.astype(np.uint32))), binary(parts)], ["shard", "ids", "tags", "counts", "data"])
+
+
+def _unpacked(rows) -> tuple[np.ndarray, np.ndarray]:
+    """The tag of each number's document, and the numbers, of a shard's packed rows."""
+    pieces = rows.to_batches()
+    tags, counts = _column(pieces, 2, np.int64)[0], _column(pieces, 3, np.uint32)[0]
+    return np.repeat(tags, counts), _column(pieces, 4, np.uint32)[0]
+
+
+def _shared_hashes(n_shards: int):
+    """Per shard: the low hashes of its documents' anchors that two documents have."""
+    def run(batches):
+        for pieces in _by_bucket(batches):
+            low, n = _column(pieces, 1, np.uint32)
+            row, _ = _column(pieces, 2, np.uint16)
+            ids, k = _column(pieces, 3, np.int64)
+            tags, _ = _column(pieces, 4, np.int64)
+            owner = row.astype(np.int64) + np.repeat(np.cumsum(k) - k, n)
+            order = np.argsort(low, kind="stable")
+            value, doc = low[order], ids[owner[order]]
+            head = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+            many = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
+            keep = order[np.repeat(many, np.diff(np.append(head, len(value))))]
+            keep = keep[np.argsort(owner[keep], kind="stable")]
+            if len(keep):
+                who, counts = np.unique(owner[keep], return_counts=True)
+                yield _packed(ids[who], tags[who], counts, low[keep], n_shards)
+    return run
 
 
 # ---- shipping and sorting -----------------------------------------------------
 
-def _pack(doc, start, end, ids, tags):
-    """One row per document with its byte ranges as packed 32-bit pairs."""
+def _ranges(doc, start, end, ids, tags, n_shards: int) -> pa.RecordBatch:
+    """Byte ranges of documents (numbers into ``ids`` and ``tags``), merged and packed by shard."""
     doc, start, end = _runs(doc, start, end)
-    cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-    pairs = np.stack([start, end], 1).astype(np.uint32)
-    spans = [x.tobytes() for x in np.split(pairs, cuts[1:])] if len(doc) else []
-    return T.int_array(ids[doc[cuts]]), T.int_array(tags[doc[cuts]]), pa.array(spans, pa.binary())
+    who, counts = np.unique(doc, return_counts=True)
+    return _packed(ids[who], tags[who], 2 * counts, np.stack([start, end], 1).reshape(-1), n_shards)
 
 
 _BINARY = ["ids", "tags", "owner", "start", "shape", "bytes"]
-_SHIPPED = "bucket long, doc_id long, tag long, spans binary, " + ", ".join(f"{c} binary" for c in _BINARY)
+_SHIPPED = "bucket long, shard long, " + ", ".join(f"{c} binary" for c in _BINARY)
+_SHIPPED_ARROW = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), *((c, pa.binary()) for c in _BINARY)])
+
+
+def _suffix_rows(splitters: np.ndarray, n_shards: int):
+    """Of a shard: packed ranges resolved inside its slices (bucket -1), and the suffixes that go on to each bucket."""
+    def run(docs, shared):
+        tag, low = _unpacked(shared)
+        out = []
+        for batch in T.slices(docs.to_batches(), max_bytes=SLICE_BYTES) if len(low) else ():
+            out += ship(batch, tag, low)
+        return pa.Table.from_batches(out, _SHIPPED_ARROW)
+
+    def ship(batch, tag, low):
+        ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        # the wanted hashes of the slice's documents; rows that repeat one another share a tag
+        by = np.argsort(tags, kind="stable")
+        at = np.minimum(np.searchsorted(tags[by], tag), len(by) - 1)
+        mine = tags[by[at]] == tag
+        wanted = np.sort((by[at[mine]].astype(np.uint64) << np.uint64(32)) | low[mine].astype(np.uint64))
+        data, offsets = T.utf8(batch.column(2))
+        a = Anchors(data, offsets, np.isin(tags, tag))
+        if not len(wanted) or not len(a.place):
+            return
+        key = a.hash.astype(np.uint32).astype(np.uint64) | (a.doc.astype(np.uint64) << np.uint64(32))
+        live = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
+        place, first, doc = a.place[live], a.first[live], a.doc[live]
+        end = a.last[live] + LENGTH
+        # equal suffixes of the slice: only those of the smallest document go on
+        same = T.mix(T.span_hashes(data, first, end, a.acc) + (place - first).astype(np.uint64))
+        order = np.lexsort((ids[doc], same))
+        head = np.append(True, same[order][1:] != same[order][:-1])
+        least = ids[doc][order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+        done = order[ids[doc][order] > least]
+        rest = order[ids[doc][order] == least]
+        if len(done):
+            base = offsets[doc[done]]
+            found = _ranges(doc[done], first[done] - base, end[done] - base, ids, tags, n_shards)
+            none = pa.array([None] * found.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([T.int_array(np.full(found.num_rows, -1)), *found.columns, none, none],
+                                             schema=_SHIPPED_ARROW)
+        bucket = np.searchsorted(splitters, _leading(data, place[rest]), "right")
+        by = np.lexsort((doc[rest], bucket))
+        rest, bucket = rest[by], bucket[by]
+        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
+        for x, y in zip(cuts, np.append(cuts[1:], len(bucket)) if len(bucket) else []):
+            r = rest[x:y]
+            rows, owner = np.unique(doc[r], return_inverse=True)
+            length = end[r] - first[r]
+            held = _take(data, first[r], length, int(length.max()))
+            shape = (place[r] - first[r]).astype(np.uint16) | (length.astype(np.uint16) << np.uint16(8))
+            blobs = (ids[rows], tags[rows], owner.astype(np.uint16), (first[r] - offsets[doc[r]]).astype(np.uint32),
+                     shape, held[np.arange(held.shape[1]) < length[:, None]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([bucket[x]], pa.int64()), pa.array([None], pa.int64()),
+                 *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], schema=_SHIPPED_ARROW)
+    return run
 
 
-def _suffix_rows(splitters: np.ndarray):
-    """Per slice: the ranges resolved inside it (bucket -1), and per bucket the suffixes that go on."""
+def _sorted_buckets(n_shards: int):
+    """Packed byte ranges: those resolved before as they come, and those the sorted buckets give."""
     def run(batches):
-        for batch in T.slices(batches):
-            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            data, offsets = T.utf8(batch.column(2))
-            a = Anchors(data, offsets)
-            # anchors whose hash was found in two documents
-            lows = [np.frombuffer(b"".join(x), np.uint32) for x in batch.column(3).to_pylist()]
-            wanted = np.concatenate([v.astype(np.uint64) | np.uint64(d << 32) for d, v in enumerate(lows)])
-            wanted.sort()
-            mine = a.hash.astype(np.uint32).astype(np.uint64) | (a.doc.astype(np.uint64) << np.uint64(32))
-            at = np.minimum(np.searchsorted(wanted, mine), max(len(wanted) - 1, 0))
-            live = np.flatnonzero(wanted[at] == mine) if len(wanted) and len(mine) else np.zeros(0, np.int64)
-            if not len(live):
+        for pieces in _by_bucket(batches):
+            if pieces[0].column(0)[0].as_py() < 0:
+                for piece in pieces:
+                    yield pa.RecordBatch.from_arrays(piece.columns[1:6], ["shard", "ids", "tags", "counts", "data"])
                 continue
-            place, first, doc = a.place[live], a.first[live], a.doc[live]
-            end = a.last[live] + LENGTH
-            # equal suffixes of the slice: only those of the smallest document go on
-            same = T.mix(T.span_hashes(data, first, end, a.acc) + (place - first).astype(np.uint64))
-            order = np.lexsort((ids[doc], same))
-            head = np.append(True, same[order][1:] != same[order][:-1])
-            least = ids[doc][order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-            done = order[ids[doc][order] > least]
-            rest = order[ids[doc][order] == least]
-            if len(done):
-                base = offsets[doc[done]]
-                i, t, spans = _pack(doc[done], first[done] - base, end[done] - base, ids, tags)
-                yield pa.RecordBatch.from_arrays(
-                    [T.int_array(np.full(len(i), -1)), i, t, spans,
-                     *(pa.array([None] * len(i), pa.binary()) for _ in _BINARY)],
-                    ["bucket", "doc_id", "tag", "spans", *_BINARY])
-            bucket = np.searchsorted(splitters, _leading(data, place[rest]), "right")
-            by = np.lexsort((doc[rest], bucket))
-            rest, bucket = rest[by], bucket[by]
-            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            for x, y in zip(cuts, np.append(cuts[1:], len(bucket))):
-                r = rest[x:y]
-                rows, owner = np.unique(doc[r], return_inverse=True)
-                length = end[r] - first[r]
-                held = _take(data, first[r], length, int(length.max()))
-                shape = (place[r] - first[r]).astype(np.uint16) | (length.astype(np.uint16) << np.uint16(8))
-                blobs = (ids[rows], tags[rows], owner.astype(np.uint16), (first[r] - offsets[doc[r]]).astype(np.uint32),
-                         shape, held[np.arange(held.shape[1]) < length[:, None]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([bucket[x]], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()),
-                     pa.array([None], pa.binary()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)],
-                    ["bucket", "doc_id", "tag", "spans", *_BINARY])
+            ids, k = _column(pieces, 2, np.int64)
+            tags, _ = _column(pieces, 3, np.int64)
+            owner, n = _column(pieces, 4, np.uint16)
+            owner = owner.astype(np.int64) + np.repeat(np.cumsum(k) - k, n)
+            start = _column(pieces, 5, np.uint32)[0].astype(np.int64)
+            shape = _column(pieces, 6, np.uint16)[0].astype(np.int64)
+            text = _column(pieces, 7, np.uint8)[0]
+            doc, a, b = resolve(ids[owner], start, shape & 255, shape >> 8, text)
+            if len(doc):
+                yield _ranges(owner[doc], a, b, ids, tags, n_shards)
     return run
 
 
-def _sorted_buckets(batches):
-    """Byte ranges per document: those resolved before, and those the sorted buckets give."""
-    for pieces in _by_bucket(batches):
-        if pieces[0].column(0)[0].as_py() < 0:
-            for piece in pieces:
-                yield pa.RecordBatch.from_arrays([piece.column(i) for i in (1, 2, 3)], ["doc_id", "tag", "spans"])
-            continue
-        ids, k = _column(pieces, 4, np.int64)
-        tags, _ = _column(pieces, 5, np.int64)
-        owner, n = _column(pieces, 6, np.uint16)
-        owner = owner.astype(np.int64) + np.repeat(np.cumsum(k) - k, n)
-        start = _column(pieces, 7, np.uint32)[0].astype(np.int64)
-        shape = _column(pieces, 8, np.uint16)[0].astype(np.int64)
-        text = _column(pieces, 9, np.uint8)[0]
-        doc, a, b = resolve(ids[owner], start, shape & 255, shape >> 8, text)
-        if len(doc):
-            # rows of one document from several slices or anchors are packed together
-            i, t, spans = _pack(owner[doc], a, b, ids, tags)
-            yield pa.RecordBatch.from_arrays([i, t, spans], ["doc_id", "tag", "spans"])
-
-
 def resolve(ids: np.ndarray, start: np.ndarray, before: np.ndarray, length: np.ndarray, text: np.ndarray):
     """Ranges (suffix number, start, end) that smaller documents also hold, of a bucket's suffixes.
 
@@ -410,44 +442,48 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = spread_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))).select(
-        "doc_id", F.xxhash64("text").alias("tag"), "text")
+        F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text", "doc_id").alias("tag"), "text", "doc_id")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = max(1, -(-total // BUCKET_BYTES))
+    n_buckets, n_shards = (max(1, -(-total // size)) for size in (BUCKET_BYTES, SHARD_BYTES))
     splitters = _splitters(docs, n_buckets)
 
-    dealt = docs.repartition(*_KEY)  # read three times, exchanged once
-    known = dealt.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    shared = (known.mapInArrow(_hash_rows(n_buckets), "bucket long, low binary, row binary, ids binary, tags binary")
+    # Read three times, exchanged once: every reader takes all its columns.
+    dealt = docs.withColumn("shard", F.pmod("tag", F.lit(n_shards))).repartition("shard")
+    shared = (dealt.mapInArrow(_hash_rows(n_buckets), "bucket long, low binary, row binary, ids binary, tags binary")
               .repartition("bucket").sortWithinPartitions("bucket")
-              .mapInArrow(_shared_hashes, "doc_id long, tag long, low binary")
-              .groupBy(*_KEY).agg(F.collect_list("low").alias("low")))
-    spans = (dealt.join(shared, _KEY).select("doc_id", "tag", "text", "low")
-             .mapInArrow(_suffix_rows(splitters), _SHIPPED)
-             .repartition("bucket", F.when(F.col("bucket") < 0, F.col("doc_id"))).sortWithinPartitions("bucket")
-             .mapInArrow(_sorted_buckets, "doc_id long, tag long, spans binary")
-             .groupBy(*_KEY).agg(F.collect_list("spans").alias("spans")))
-
-    def finish(batches):
-        for batch in T.slices(batches):
-            data, offsets = T.utf8(batch.column(1))
-            raw, out = data.tobytes(), []
-            for k, parts in enumerate(batch.column(2).to_pylist()):
+              .mapInArrow(_shared_hashes(n_shards), _PACKED))
+    spans = (dealt.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_suffix_rows(splitters, n_shards), _SHIPPED)
+             .repartition("bucket", F.when(F.col("bucket") < 0, F.col("shard"))).sortWithinPartitions("bucket")
+             .mapInArrow(_sorted_buckets(n_shards), _PACKED))
+
+    def finish(docs, spans):
+        tag, number = _unpacked(spans)
+        by = np.argsort(tag[::2], kind="stable")
+        tag, pairs = tag[::2][by], number.reshape(-1, 2)[by].astype(np.int64)
+        out = []
+        for batch in T.slices(docs.to_batches(), max_bytes=SLICE_BYTES):
+            data, offsets = T.utf8(batch.column(2))
+            raw, tags = data.tobytes(), batch.column(1).to_numpy()
+            low, high = np.searchsorted(tag, tags), np.searchsorted(tag, tags, "right")
+            rows = []
+            for k in range(batch.num_rows):
                 a, b = int(offsets[k]), int(offsets[k + 1])
-                pairs = np.frombuffer(b"".join(parts or []), np.uint32).reshape(-1, 2).astype(np.int64)
-                _, start, end = _runs(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
+                mine = pairs[low[k]:high[k]]
+                _, start, end = _runs(np.zeros(len(mine), np.int64), mine[:, 0], mine[:, 1])
                 digest, at = hashlib.sha256(), a
                 for s, e in zip(start.tolist(), end.tolist()):
                     digest.update(raw[at:a + s])
                     at = a + e
                 digest.update(raw[at:b])
-                out.append((b - a, int((end - start).sum()), len(start), digest.hexdigest()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(
-                    zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string())))],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return (dealt.join(spans, _KEY, "left").select("doc_id", "text", "spans")
-            .mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+                rows.append((b - a, int((end - start).sum()), len(start), digest.hexdigest()))
+            out.append(pa.RecordBatch.from_arrays(
+                [batch.column(3), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(result)[1:]))], schema=result))
+        return pa.Table.from_batches(out, result)
+
+    result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
+                        ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    return (dealt.groupBy("shard").cogroup(spans.groupBy("shard"))
+            .applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
             .withColumn("doc_id", F.col("doc_id").cast(kind)))
 
 
