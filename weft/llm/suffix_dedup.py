@@ -47,7 +47,8 @@ from weft.sources.files import read_table
 LENGTH = 50
 GRAM = 20
 GRAMS = LENGTH - GRAM + 1      # grams in a window
-BUCKET_BYTES = 16 << 20        # text behind one bucket
+BUCKET_BYTES = 16 << 20        # text behind one bucket of suffixes
+HASH_BYTES = 32 << 20          # and behind one bucket of hashes
 SAMPLE_ROWS = 2000             # texts whose anchors give the splitters
 CHUNK = 1 << 18                # windows sorted at once
 SLICE_BYTES = 1 << 20          # text whose anchors are found at once
@@ -332,11 +333,12 @@ def _suffix_rows(splitters: np.ndarray, n_shards: int):
             length = end[r] - first[r]
             held = _take(data, first[r], length, int(length.max()))
             shape = (place[r] - first[r]).astype(np.uint16) | (length.astype(np.uint16) << np.uint16(8))
-            blobs = (ids[rows], tags[rows], owner.astype(np.uint16), (first[r] - offsets[doc[r]]).astype(np.uint32),
-                     shape, held[np.arange(held.shape[1]) < length[:, None]])
+            text = held[np.arange(held.shape[1]) < length[:, None]].tobytes()
+            blobs = (ids[rows], tags[rows], owner.astype(np.uint16), (first[r] - offsets[doc[r]]).astype(np.uint32), shape)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([bucket[x]], pa.int64()), pa.array([None], pa.int64()),
-                 *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], schema=_SHIPPED_ARROW)
+                 *(pa.array([b.tobytes()], pa.binary()) for b in blobs),
+                 pa.array([pa.compress(text, "zstd", asbytes=True)], pa.binary())], schema=_SHIPPED_ARROW)
     return run
 
 
@@ -354,7 +356,9 @@ def _sorted_buckets(n_shards: int):
             owner = owner.astype(np.int64) + np.repeat(np.cumsum(k) - k, n)
             start = _column(pieces, 5, np.uint32)[0].astype(np.int64)
             shape = _column(pieces, 6, np.uint16)[0].astype(np.int64)
-            text = _column(pieces, 7, np.uint8)[0]
+            size = np.add.reduceat(shape >> 8, np.cumsum(n) - n).tolist()
+            packed = [x for piece in pieces for x in piece.column(7).to_pylist()]
+            text = np.frombuffer(b"".join(pa.decompress(x, m, "zstd", asbytes=True) for x, m in zip(packed, size)), np.uint8)
             doc, a, b = resolve(ids[owner], start, shape & 255, shape >> 8, text)
             if len(doc):
                 yield _ranges(owner[doc], a, b, ids, tags, n_shards)
@@ -444,12 +448,12 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     docs = spread_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))).select(
         F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text", "doc_id").alias("tag"), "text", "doc_id")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets, n_shards = (max(1, -(-total // size)) for size in (BUCKET_BYTES, SHARD_BYTES))
+    n_hash, n_buckets, n_shards = (max(1, -(-total // size)) for size in (HASH_BYTES, BUCKET_BYTES, SHARD_BYTES))
     splitters = _splitters(docs, n_buckets)
 
     # Read three times, exchanged once: every reader takes all its columns.
     dealt = docs.withColumn("shard", F.pmod("tag", F.lit(n_shards))).repartition("shard")
-    shared = (dealt.mapInArrow(_hash_rows(n_buckets), "bucket long, low binary, row binary, ids binary, tags binary")
+    shared = (dealt.mapInArrow(_hash_rows(n_hash), "bucket long, low binary, row binary, ids binary, tags binary")
               .repartition("bucket").sortWithinPartitions("bucket")
               .mapInArrow(_shared_hashes(n_shards), _PACKED))
     spans = (dealt.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_suffix_rows(splitters, n_shards), _SHIPPED)
