@@ -491,6 +491,33 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
             .withColumn("doc_id", F.col("doc_id").cast(kind)))
 
 
-@query("op1_suffix_dedup")
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, coalesce(hex(text), '') AS h FROM documents
+), w AS (
+  SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS k
+  FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 - 48)) AS i FROM d WHERE len(h) >= 100)
+), m AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p
+  FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS f FROM w) WHERE f < doc_id
+), g AS (
+  SELECT doc_id, i, sum(CASE WHEN i <= p + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM m
+), s AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, r
+), t AS (
+  SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS z FROM s GROUP BY doc_id
+), pieces AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS x, a AS y FROM s
+  UNION ALL SELECT doc_id, coalesce(z, 1), len(h) // 2 + 1 FROM d LEFT JOIN t USING (doc_id)
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * x - 1, 2 * (y - x)), '' ORDER BY x) AS k FROM pieces JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@query("op1_suffix_dedup", ORACLE)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(read_table(spark, sf_dir, "documents"))
