@@ -1,6 +1,7 @@
 """Duplicate operators against brute force on a small corpus."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -230,6 +231,38 @@ def test_fuzzy_passage_ends(spark):
     assert left == {4: " ".join(first), 9: " ".join(second[:25] + second[145:])}
 
 
+def covered(found, docs):
+    """Words of each document that lie in passages."""
+    out = {i: set() for i in docs}
+    for r in found:
+        out[r.doc_id].update(range(r.start, r.end))
+    return out
+
+
+def two_passages(gaps, words=60):
+    """Rows of two documents per gap that share two passages with ``gap`` other words between, and the places
+    of the passages in the later documents."""
+    rng = random.Random(8)
+    rows, need = [], {}
+    for n, gap in enumerate(gaps):
+        own = lambda k: [f"g{n}w{words}w{rng.randrange(10**9)}" for _ in range(k)]
+        one, two = own(words), own(words)
+        rows.append((2 * n, " ".join(one + own(gap) + two + own(20))))
+        rows.append((2 * n + 1, " ".join(own(15) + one + own(gap) + two)))
+        need[2 * n + 1] = set(range(15, 15 + words)) | set(range(15 + words + gap, 15 + 2 * words + gap))
+    return rows, need
+
+
+def test_two_passages_far_apart(spark):
+    """An earlier passage out of reach, however long, does not hide the next one."""
+    rows, need = two_passages([0, 3, 10, 65, 70, 80, 100, 150, 300, 1000])
+    long, more = two_passages([100, 300, 700], words=300)
+    rows += [(i + 100, t) for i, t in long]
+    need |= {i + 100: w for i, w in more.items()}
+    got = covered(substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect(), need)
+    assert {i: len(need[i] - got[i]) for i in need if need[i] - got[i]} == {}
+
+
 def test_removal_keeps_columns_and_clean_texts(docs, rows):
     left = substring_dedup.remove_passages(docs)
     assert left.columns == docs.columns
