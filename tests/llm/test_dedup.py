@@ -263,6 +263,41 @@ def test_two_passages_far_apart(spark):
     assert {i: len(need[i] - got[i]) for i in need if need[i] - got[i]} == {}
 
 
+def test_two_passages_close_together(spark):
+    """Passages that are chained over too many other words are reported one by one."""
+    rows, need = two_passages([15, 20, 25, 31, 32, 40, 48, 50, 55, 56, 60, 64])
+    got = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    words = {i: t.split() for i, t in rows}
+    for r in got:
+        a, b = words[r.doc_id][r.start:r.end], words[r.src_id][r.src_start:r.src_end]
+        assert min(len(a), len(b)) >= substring_dedup.MIN_WORDS
+        assert common(a, b) >= r.equal >= substring_dedup.MIN_IDENTITY * max(len(a), len(b))
+    got = covered(got, need)
+    assert {i: len(need[i] - got[i]) for i in need if need[i] - got[i]} == {}
+
+
+def test_segments_equal_trying_all(monkeypatch):
+    """The stretches of an alignment cover what all pairs of its equal words cover."""
+    monkeypatch.setattr(substring_dedup, "MIN_WORDS", 8)
+    rng = random.Random(3)
+    some = 0
+    for n in range(300):
+        x, y = [0], [0]
+        for _ in range(rng.randrange(60)):
+            jump = rng.random() < 0.15
+            x.append(x[-1] + 1 + jump * rng.randrange(9))
+            y.append(y[-1] + 1 + jump * rng.randrange(9))
+        size = lambda i, j: (x[j] - x[i] + 1, y[j] - y[i] + 1)
+        want = {k for i in range(len(x)) for j in range(i, len(x)) if min(size(i, j)) >= 8
+                and j - i + 1 >= substring_dedup.MIN_IDENTITY * max(size(i, j)) for k in range(i, j + 1)}
+        got = substring_dedup.segments(np.array(x), np.array(y))
+        assert {k for i, j in got for k in range(i, j + 1)} >= want
+        assert all(min(size(*g)) >= 8 and j - i + 1 >= substring_dedup.MIN_IDENTITY * max(size(*g))
+                   for g in got for i, j in [g])
+        some += len(got) > 1
+    assert some > 20
+
+
 def test_removal_keeps_columns_and_clean_texts(docs, rows):
     left = substring_dedup.remove_passages(docs)
     assert left.columns == docs.columns
