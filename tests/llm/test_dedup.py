@@ -298,6 +298,25 @@ def test_segments_equal_trying_all(monkeypatch):
     assert some > 20
 
 
+def test_every_copy_in_a_text_is_found(spark):
+    """A passage that stands several times in the later text, and in either slice order, goes each time."""
+    rng = random.Random(4)
+    own = lambda k: [f"c{rng.randrange(10**9)}" for _ in range(k)]
+    one, two = own(60), own(50)
+    first = own(30) + one + own(10) + two
+    parts = [own(n) for n in (20, 90, 0, 100, 15)]
+    second = parts[0] + one + parts[1] + one + parts[2] + two + parts[3] + one + parts[4]
+    third = two + parts[1][:30] + own(70) + two + one
+    rows = [(1, " ".join(first)), (5, " ".join(second)), (7, " ".join(third)), (8, "no line of it " * 30), (9, "No line of it " * 40)]
+    need = {1: set(), 5: set(range(20, 80)) | set(range(170, 280)) | set(range(380, 440)),
+            7: set(range(50)) | set(range(150, 260)), 9: set(range(160))}
+    for parts in (1, 4):
+        found = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        got = covered(found, [i for i, _ in rows])
+        assert {i: len(need[i] - got[i]) for i in need if need[i] - got[i]} == {}
+        assert not got[1] and len(found) < 20
+
+
 def test_removal_keeps_columns_and_clean_texts(docs, rows):
     left = substring_dedup.remove_passages(docs)
     assert left.columns == docs.columns
