@@ -228,6 +228,33 @@ def test_contaminated_documents(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()} >= want
 
 
+def test_item_blocks_do_not_change_verdicts(spark, monkeypatch):
+    """Any number of index blocks gives the same matches with the same scores."""
+    docs, items, want, *_ = leaky(spark)
+    whole = {tuple(r) for r in decontam.contaminated(docs, items).collect()}
+    assert {r[:2] for r in whole} == want
+    for block in (25, 7):
+        monkeypatch.setattr(decontam, "ITEM_BLOCK", block)
+        got = sorted(map(tuple, decontam.contaminated(docs, items).collect()), key=str)
+        assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in sorted(whole, key=str)]
+        assert [r[2] for r in got] == pytest.approx([r[2] for r in sorted(whole, key=str)])
+
+
+def test_a_long_item_does_not_widen_passages(spark):
+    """Common word pairs scattered over a long clean text do not make a short item's match."""
+    rng = random.Random(2)
+    own = lambda k: [f"u{rng.randrange(10**9)}" for _ in range(k)]
+    question, answer = own(8), own(5)
+    item = " ".join(question) + ". " + " ".join(answer) + "."
+    words = item.split()
+    clean = [w for k in range(len(words) - 1) for w in own(60) + words[k:k + 2]]
+    items = [(1, item), (2, " ".join(own(1500)) + ". " + " ".join(own(500)) + ".")] + [(k, " ".join(own(12))) for k in range(3, 30)]
+    rows = [(1, " ".join(clean)), (2, " ".join(own(300) + words + own(50))), (3, " ".join(own(40)) + " " + items[1][1])]
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"),
+                                spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(2, 1), (3, 2)}
+
+
 def test_retrieval_equals_scoring_everything(spark):
     """Block-max pruning loses no passage and item whose BM25 score reaches the threshold."""
     _, _, _, items, rows = leaky(spark)

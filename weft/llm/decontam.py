@@ -2,8 +2,9 @@
 
 The items are indexed (term → postings with impacts). Impacts are divided by the
 item's score against its own text, so 1 means "all of the item's terms" and one
-threshold serves all items. A passage is a window of twice the longest item's
-words, stepping by that length: an occurrence of an item lies whole in one.
+threshold serves all items. Items are searched by length class (8 words, 16, 32, ...).
+A passage is a window of twice the class's length, stepping by that length: an
+occurrence of an item lies whole in one, and no longer item widens it.
 
 Retrieval is block-max WAND on arrays, for many passages at once: the sum of the
 terms' largest impacts drops passages, the sums of the largest impacts inside
@@ -13,7 +14,8 @@ then verified: the passage must hold most word pairs of the item's answer (its l
 sentence, or more if that is short) and of its question (what comes before).
 
 The index is built on the driver for at most ``ITEM_BLOCK`` items and broadcast;
-more items are indexed and searched block by block.
+more items are indexed and searched block by block. Document frequencies, item count and
+mean length are those of all items, so the blocks do not change a score.
 
 Defined results: null and empty texts and items hold no terms and match nothing;
 repeated items match alike; of repeated rows and of a document's passages the
@@ -33,10 +35,11 @@ from pyspark.sql import functions as F
 
 from weft.llm import text as T
 from weft.llm.registry import query
-from weft.session import spread_rows
+from weft.session import cut_lineage, spread_rows
 from weft.sources.files import read_table
 
 K1, B = 1.2, 0.75
+SHORT = 8            # words of the shortest length class
 THRESHOLD = 0.5      # of the item's score against itself
 OVERLAP = 0.6        # share of the word pairs of question and answer
 PART_WORDS = 5       # words of a question or an answer at least, if need be of several sentences
@@ -77,10 +80,12 @@ def _rows(order: np.ndarray, n: int) -> np.ndarray:
 class Index:
     """Impact-ordered postings of the items with per-term and per-block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], longest: int | None = None, stats: tuple | None = None):
+        """``longest`` is the length class; ``stats`` the (number, mean length, sorted terms, document
+        frequencies) of a larger set of items that these are from."""
         items = [(i, t, h) for i, t in items if len(h := _hashes(t or ""))]
         self.ids = np.array([i for i, _, _ in items], np.int64)
-        self.longest = max((len(h) for _, _, h in items), default=1)
+        self.longest = longest or max((len(h) for _, _, h in items), default=1)
         self.parts = [tuple(_pairs(_hashes(p)) for p in question_answer(t)) for _, t, _ in items]
         item = np.repeat(np.arange(len(items)), [len(h) for _, _, h in items])
         term, number = np.unique(np.concatenate([h for _, _, h in items]) if items else np.zeros(0, np.uint64),
@@ -88,10 +93,15 @@ class Index:
         self.terms = T.HashIndex(term)
         cell, tf = np.unique(number * max(len(items), 1) + item, return_counts=True)
         term_of, self.item = cell // max(len(items), 1), cell % max(len(items), 1)
-        df = np.bincount(term_of, minlength=len(term))
-        idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
         length = np.bincount(item, minlength=len(items))
-        norm = K1 * (1 - B + B * length / max(length.mean(), 1) if len(items) else 1)
+        if stats is None:
+            number, mean = len(items), length.mean() if len(items) else 1
+            df = np.bincount(term_of, minlength=len(term))
+        else:
+            number, mean = stats[:2]
+            df = stats[3][np.searchsorted(stats[2], term)]
+        idf = np.log1p((number - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * length / max(mean, 1) if len(items) else 1)
         impact = idf[term_of] * tf * (K1 + 1) / (tf + norm[self.item]) if len(items) else np.zeros(0)
         own = np.bincount(self.item, impact, len(items))
         self.impact = impact / np.maximum(own[self.item], 1e-12) if len(items) else impact
@@ -148,17 +158,54 @@ def _share(part: np.ndarray, passage: np.ndarray) -> float:
     return float(np.isin(part, passage).mean()) if len(part) else 1.0
 
 
-def _search(docs: DataFrame, index: Index) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # at most ITEM_BLOCK items
+def _terms(items: DataFrame) -> DataFrame:
+    """Rows ``(h, n, words)``: how many items hold a term; without a term, the number of items with words
+    and their words."""
+    def run(batches):
+        for batch in T.slices(batches):
+            words = T.Words(*T.utf8(batch.column(0)))
+            h, owner = words.hashes(lower=True), words.doc()
+            order = np.lexsort((owner, h))
+            new = np.ones(len(h), bool)
+            new[1:] = (np.diff(h[order].view(np.int64)) != 0) | (np.diff(owner[order]) != 0)
+            term, n = np.unique(h[order][new], return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None, *term.view(np.int64).tolist()], pa.int64()),
+                 pa.array([int((words.counts > 0).sum()), *n.tolist()], pa.int64()),
+                 pa.array([len(h)] + [0] * len(term), pa.int64())], ["h", "n", "words"])
+
+    return (items.select("text").mapInArrow(run, "h long, n long, words long")
+            .groupBy("h").agg(F.sum("n").alias("n"), F.sum("words").alias("words")))
+
+
+def _indexes(items: DataFrame, terms: DataFrame, whole: bool) -> list[Index]:
+    """An index per length class of a block of items."""
+    total = terms.where("h is null").collect()
+    own = terms if whole else terms.join(_terms(items).select("h"), "h", "left_semi")
+    found = own.where("h is not null").select("h", "n").collect()  # the terms of at most ITEM_BLOCK items
+    h, n = np.array([r["h"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64)
+    order = np.argsort(h)
+    number = total[0]["n"] if total else 0
+    stats = (number, total[0]["words"] / max(number, 1) if total else 1, h[order], n[order])
+    classes: dict[int, list] = {}
+    for item, text in items.orderBy("item_id", "text").collect():
+        size = len(_hashes(text or ""))
+        if size:
+            classes.setdefault(max(SHORT, 1 << (size - 1).bit_length()), []).append((item, text))
+    return [Index(classes[k], k, stats) for k in sorted(classes)]
+
+
+def _search(docs: DataFrame, indexes: list[Index]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(indexes)  # at most ITEM_BLOCK items
 
     def run(batches):
-        ix: Index = shared.value
         for batch in T.slices(batches):
             data, offsets = T.utf8(batch.column(1))
             words = T.Words(T.LOWER[data], offsets)
             h = words.hashes()
             out = []
-            for text, start, item, score in zip(*(x.tolist() for x in retrieve(ix, h, words.first))):
+            for ix, text, start, item, score in ((ix, *row) for ix in shared.value for row in zip(
+                    *(x.tolist() for x in retrieve(ix, h, words.first)))):
                 a = words.first[text] + start
                 inside = _pairs(h[a:min(a + 2 * ix.longest, words.first[text + 1])])
                 question, answer = (_share(p, inside) for p in ix.parts[item])
@@ -180,10 +227,11 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The best passage of every document and test item that match: one row per pair."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     n_blocks = max(1, -(-items.count() // ITEM_BLOCK))
+    terms = cut_lineage(_terms(items))
     found = None
     for k in range(n_blocks):  # the stated query set, in blocks
         mine = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k
-        part = _search(docs, Index([tuple(r) for r in items.where(mine).orderBy("item_id", "text").collect()]))
+        part = _search(docs, _indexes(items.where(mine), terms, n_blocks == 1))
         found = part if found is None else found.union(part)
     rest = ["score", "question_overlap", "answer_overlap", "first_word"]
     best = F.max(F.struct("score", "question_overlap", "answer_overlap", (-F.col("first_word")).alias("first_word")))
