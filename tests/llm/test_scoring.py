@@ -255,6 +255,15 @@ def test_a_long_item_does_not_widen_passages(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(2, 1), (3, 2)}
 
 
+def test_item_without_id(spark):
+    """An item with a null id is searched like any other."""
+    docs, items, want, held, _ = leaky(spark)
+    items = items.select(F.when(F.col("item_id") != 4, F.col("item_id")).alias("item_id"), "text")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()}
+    assert got == {(d, None if k == 4 else k) for d, k in want}
+    assert 302 not in {r.doc_id for r in decontam.decontaminate(docs, items).select("doc_id").collect()}
+
+
 def test_retrieval_equals_scoring_everything(spark):
     """Block-max pruning loses no passage and item whose BM25 score reaches the threshold."""
     _, _, _, items, rows = leaky(spark)

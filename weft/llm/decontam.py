@@ -19,8 +19,8 @@ mean length are those of all items, so the blocks do not change a score.
 
 Defined results: null and empty texts and items hold no terms and match nothing;
 repeated items match alike; of repeated rows and of a document's passages the
-best is reported per document and item; rows with a null id match as one
-document without an id; empty tables give no rows. Other columns are not read by
+best is reported per document and item; rows (items) with a null id match as one
+document (item) without an id; empty tables give no rows. Other columns are not read by
 :func:`contaminated` and pass through :func:`decontaminate`.
 """
 
@@ -84,7 +84,7 @@ class Index:
         """``longest`` is the length class; ``stats`` the (number, mean length, sorted terms, document
         frequencies) of a larger set of items that these are from."""
         items = [(i, t, h) for i, t in items if len(h := _hashes(t or ""))]
-        self.ids = np.array([i for i, _, _ in items], np.int64)
+        self.ids = [i for i, _, _ in items]
         self.longest = longest or max((len(h) for _, _, h in items), default=1)
         self.parts = [tuple(_pairs(_hashes(p)) for p in question_answer(t)) for _, t, _ in items]
         item = np.repeat(np.arange(len(items)), [len(h) for _, _, h in items])
@@ -210,7 +210,7 @@ def _search(docs: DataFrame, indexes: list[Index]) -> DataFrame:
                 inside = _pairs(h[a:min(a + 2 * ix.longest, words.first[text + 1])])
                 question, answer = (_share(p, inside) for p in ix.parts[item])
                 if question >= OVERLAP and answer >= OVERLAP:
-                    out.append((text, int(ix.ids[item]), score, question, answer, start))
+                    out.append((text, ix.ids[item], score, question, answer, start))
             if out:
                 rows = list(zip(*out))
                 yield pa.RecordBatch.from_arrays(
