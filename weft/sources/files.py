@@ -40,6 +40,16 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def stream_parquet(spark: SparkSession, path: str, schema: StructType | None = None, **options) -> DataFrame:
+    """A Parquet table as a stream, stored as one file or as a folder of part files that may grow.
+
+    A file source lists folders only; a lone file is named by a pattern that matches nothing else."""
+    schema = schema or spark.read.parquet(path).schema
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+    return spark.readStream.schema(schema).options(**options).parquet(path if folder else f"{path[:-1]}[{path[-1]}]")
+
+
 def read_csv(spark: SparkSession, path: str, schema=None, header: bool = True) -> DataFrame:
     """CSV with a header. An explicit schema avoids the extra inference pass over the data."""
     reader = spark.read.option("header", header)
