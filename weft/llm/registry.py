@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 MODULES = ("suffix_dedup", "langid", "lm_score", "substring_dedup", "quality", "decontam", "chat",
-           "near_dedup", "warc", "mixing")
+           "near_dedup", "warc", "mixing", "exact_dedup")
 
 
 def query(name: str, oracle: str | None = None):
