@@ -37,8 +37,13 @@ from weft.sources.files import stream_parquet, table_path
 SPACE = "[\\x20\\x09-\\x0D]+"
 HOT = 1000  # a digest with more than 1/HOT of the rows is hot
 BATCH = {"maxBytesPerTrigger": str(1 << 38)}  # of files a micro-batch takes
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# State on disk; a commit writes the changes only, and no store reserves disk that it does not use.
+_STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -75,13 +80,15 @@ def keyed_state(spark: SparkSession, log: DataFrame, root: str, digest: Callable
     state = rows.groupBy(digest(F.col("sha")).alias("digest")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")).alias("first"),
         F.count("*").alias("size"))
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in _STATE_CONF}
+    for name, value in _STATE_CONF.items():
+        spark.conf.set(name, value)
     try:
         _run(state, "noop", "update", f"{root}/state")
         found = spark.read.format("statestore").load(f"{root}/state")
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     # The state names its columns after the plan: the key, then the buffers of min and count.
     (key,), (first, size) = (found.schema[c].dataType.fieldNames() for c in ("key", "value"))
     return found.select(F.col(f"key.`{key}`").alias("digest"), F.col(f"value.`{first}`").alias("first"),
