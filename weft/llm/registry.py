@@ -7,7 +7,8 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 MODULES = ("suffix_dedup", "langid", "lm_score", "substring_dedup", "quality", "decontam", "chat",
-           "near_dedup", "warc", "mixing", "exact_dedup")
+           "near_dedup", "warc", "mixing", "exact_dedup",
+           "divergence", "collocations")
 
 
 def query(name: str, oracle: str | None = None):
