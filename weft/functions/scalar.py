@@ -16,6 +16,12 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def key_text(*cols) -> Column:
+    """Text that two rows share only if all the columns do: each part follows its length, a null is a mark of its own."""
+    parts = [_c(c).cast("string") for c in cols]
+    return F.concat(*[F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("~")) for p in parts])
+
+
 def html_escape(c) -> Column:
     out = _c(c).cast("string")
     for raw, ent in HTML_ENTITIES:

@@ -11,7 +11,9 @@ DataFrame per nested path:
 
 Every row carries ``_row_id``; child rows also ``_parent_id`` and ``_pos`` (the
 element's position). Ids are md5 paths, so a recomputed parent still matches
-its children: root ``md5(name|key...)``, child ``md5(parent|field|pos)``.
+its children: root ``md5(name|key...)`` with every key part after its length (a null
+is a mark), child ``md5(parent|field|pos)``. Keys that hold separators or nulls so get
+ids of their own. With ``root_ids`` every row also carries ``_root_id``, its document's id.
 ``_children`` is a JSON text per row naming each nested field's kind, table
 and state (``null`` / ``empty`` / ``present``), which is what lets the rebuild
 tell a missing array from an empty one.
@@ -23,15 +25,17 @@ tell a missing array from an empty one.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType, VariantType
 
+from weft.functions.scalar import key_text
 from weft.operators.frames import group_collect
 
-META = ("_row_id", "_parent_id", "_pos", "_children")
+META = ("_root_id", "_row_id", "_parent_id", "_pos", "_children")
 
 # Fixed value: default nesting depth kept by shred (the root is depth 1).
 DEPTH_LIMIT = 5
@@ -81,8 +85,7 @@ def _kind(dt: DataType) -> str:
 
 
 def root_id(name: str, key_cols) -> Column:
-    parts = [F.lit(name)] + [F.col(k).cast("string") for k in key_cols]
-    return F.md5(F.concat_ws("|", *parts))
+    return F.md5(F.concat(F.lit(f"{name}|"), key_text(*key_cols)))
 
 
 def child_id(parent: Column, fname: str, pos: Column) -> Column:
@@ -90,7 +93,7 @@ def child_id(parent: Column, fname: str, pos: Column) -> Column:
 
 
 def shred(df: DataFrame, name: str, key_cols=None, depth_limit: int = DEPTH_LIMIT,
-          overflow: str | None = None) -> ShredResult:
+          overflow: str | None = None, root_ids: bool = False) -> ShredResult:
     """Split ``df`` into linked tables. ``key_cols`` must identify a row uniquely;
     without them the file path and row index of a file scan are used.
 
@@ -105,6 +108,8 @@ def shred(df: DataFrame, name: str, key_cols=None, depth_limit: int = DEPTH_LIMI
             base = df.withColumn("_row_id", F.md5(F.concat_ws("|", F.lit(name), *ident)))
         except Exception as exc:  # noqa: BLE001
             raise ValueError("shred needs key_cols unless the input is a file scan") from exc
+    if root_ids:
+        base = base.withColumn("_root_id", F.col("_row_id"))
     result = ShredResult(name, {})
     _walk(base, name, None, df.schema, 1, depth_limit, overflow, result)
     return result
@@ -116,7 +121,7 @@ def _walk(frame: DataFrame, table: str, parent: str | None, schema: StructType,
         raise ValueError(f"child table name collision: {table!r}")
     lay = TableLayout(table, parent)
     result.layout[table] = lay
-    out_cols: list[Column] = [F.col("_row_id")]
+    out_cols: list[Column] = [F.col(c) for c in ("_root_id", "_row_id") if c in frame.columns]
     if parent is not None:
         out_cols += [F.col("_parent_id"), F.col("_pos")]
     child_states = []
@@ -156,27 +161,28 @@ def _walk(frame: DataFrame, table: str, parent: str | None, schema: StructType,
 def _child_frame(frame: DataFrame, f: StructField, link: ChildLink) -> tuple[DataFrame, StructType]:
     """Rows of one child table with ``_row_id/_parent_id/_pos`` and its fields at top level."""
     c = F.col(f"`{f.name}`")
+    roots = [c for c in ("_root_id",) if c in frame.columns]
     pid = F.col("_row_id").alias("_parent_id")
     if link.kind == OBJECT:
-        rows = frame.where(c.isNotNull()).select(pid, F.lit(0).alias("_pos"), c.alias("_item"))
+        rows = frame.where(c.isNotNull()).select(*roots, pid, F.lit(0).alias("_pos"), c.alias("_item"))
         schema = f.dataType
         fields = [F.col("_item").getField(x.name).alias(x.name) for x in schema.fields]
     elif link.kind == ARRAY:
-        rows = (frame.select(pid, F.posexplode(c).alias("_pos", "_item"))
+        rows = (frame.select(*roots, pid, F.posexplode(c).alias("_pos", "_item"))
                 .where(F.col("_item").isNotNull()))
         schema = f.dataType.elementType
         fields = [F.col("_item").getField(x.name).alias(x.name) for x in schema.fields]
     elif link.kind == VALUES:
-        rows = frame.select(pid, F.posexplode(c).alias("_pos", "value"))
+        rows = frame.select(*roots, pid, F.posexplode(c).alias("_pos", "value"))
         schema = StructType([StructField("value", f.dataType.elementType, True)])
         fields = [F.col("value")]
     else:  # MAP
-        rows = frame.select(pid, F.posexplode(F.map_entries(c)).alias("_pos", "_item"))
+        rows = frame.select(*roots, pid, F.posexplode(F.map_entries(c)).alias("_pos", "_item"))
         schema = StructType([StructField("key", f.dataType.keyType, False),
                              StructField("value", f.dataType.valueType, True)])
         fields = [F.col("_item.key").alias("key"), F.col("_item.value").alias("value")]
     ids = child_id(F.col("_parent_id"), f.name, F.col("_pos")).alias("_row_id")
-    return rows.select(ids, "_parent_id", "_pos", *fields), schema
+    return rows.select(*roots, ids, "_parent_id", "_pos", *fields), schema
 
 
 def _data_struct(df: DataFrame, lay: TableLayout) -> Column:
@@ -201,26 +207,106 @@ def _rebuilt_table(parts: dict, layout: dict[str, TableLayout], table: str) -> D
             item = (_data_struct(child, clay) if link.kind == ARRAY
                     else F.col("value") if link.kind == VALUES
                     else F.struct("key", "value"))
-            agg = group_collect(child.withColumnRenamed("_parent_id", key), key,
-                                F.sort_array(F.collect_list(F.struct(F.col("_pos"), item.alias("v")))).alias("_a"))
-            items = F.transform(F.col("_a"), lambda x: x["v"])
-            if link.kind == MAP:
-                items = F.map_from_entries(items)
-            agg = agg.select(key, items.alias(f"_v_{fname}"))
-            state = F.get_json_object(F.col("_children"), f"$.{fname}.state")
-            vtype = agg.schema[f"_v_{fname}"].dataType
-            fallback = (F.array() if link.kind != MAP else F.create_map()).cast(vtype)
-            value = F.when(state == "null", F.lit(None)).otherwise(F.coalesce(F.col(f"_v_{fname}"), fallback))
+            child = child.select(F.col("_parent_id").alias(key), F.struct(F.col("_pos"), item.alias("v")).alias("_i"))
+            agg = group_collect(child, key, _by_pos(F.collect_list("_i"), child.schema["_i"].dataType).alias("_a"))
+            agg = agg.select(key, _in_order(F.col("_a"), link.kind).alias(f"_v_{fname}"))
+            value = _or_empty(link, agg.schema[f"_v_{fname}"].dataType)
         frame = frame.join(agg, frame["_row_id"] == agg[key], "left")
         restored[fname] = value
+    return _with_fields(frame, lay, restored)
+
+
+def _by_pos(items: Column, item: DataType) -> Column:
+    """Collected ``(_pos, v)`` items by position; values that have no order of their own need a comparator."""
+    if _has_order(item):
+        return F.sort_array(items)
+    return F.array_sort(items, lambda a, b: a["_pos"] - b["_pos"])
+
+
+def _has_order(dt: DataType) -> bool:
+    if isinstance(dt, StructType):
+        return all(_has_order(f.dataType) for f in dt.fields)
+    if isinstance(dt, ArrayType):
+        return _has_order(dt.elementType)
+    return not isinstance(dt, (MapType, VariantType))
+
+
+def _in_order(items: Column, kind: str) -> Column:
+    """Values of collected ``(_pos, v)`` items, as an array or a map."""
+    values = F.transform(items, lambda x: x["v"])
+    return F.map_from_entries(values) if kind == MAP else values
+
+
+def _or_empty(link: ChildLink, vtype: DataType) -> Column:
+    """A collected field, null or empty where the parent's row says so."""
+    state = F.get_json_object(F.col("_children"), f"$.{link.field}.state")
+    empty = (F.array() if link.kind != MAP else F.create_map()).cast(vtype)
+    return F.when(state == "null", F.lit(None)).otherwise(F.coalesce(F.col(f"_v_{link.field}"), empty))
+
+
+def _with_fields(frame: DataFrame, lay: TableLayout, restored: dict[str, Column]) -> DataFrame:
+    """The table's fields in their order, nested ones restored, and the ids for its parent."""
     for fname in lay.overflow:
         restored[fname] = F.col(f"`{fname}`")
-    meta = [F.col(m) for m in ("_row_id", "_parent_id", "_pos") if m in frame.columns]
+    meta = [F.col(m) for m in ("_root_id", "_row_id", "_parent_id", "_pos") if m in frame.columns]
     data = [restored.get(c, F.col(f"`{c}`")).alias(c) if c in restored or c in frame.columns
             else F.lit(None).alias(c) for c in lay.columns]
     return frame.select(*meta, *data)
 
 
+def save_bucketed(parts: ShredResult, root: str, buckets: int | None = None) -> ShredResult:
+    """Save tables shredded with ``root_ids`` bucketed by document and sorted by their link ids.
+
+    Each table moves once, when saved (one file per bucket), and :func:`rebuild_local` reads
+    it in place as often as wanted. ``buckets`` (default: the shuffle partitions) is a property of the
+    stored tables: choose it for the size of the documents, as a bucket is one task."""
+    out = ShredResult(parts.root, parts.layout)
+    for name, frame in parts.items():
+        spark = frame.sparkSession
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"weft_{uuid.uuid4().hex}"
+        order = [c for c in ("_parent_id", "_pos", "_row_id") if c in frame.columns]
+        (frame.repartition(buckets, "_root_id").write.bucketBy(buckets, "_root_id").sortBy(*order)
+         .option("path", f"{root}/{name}").saveAsTable(table))
+        out[name] = spark.table(table)
+    return out
+
+
+def rebuild_local(parts: ShredResult, root: str | None = None) -> DataFrame:
+    """:func:`rebuild` for tables of :func:`save_bucketed`: a row and its children's rows meet in one
+    grouping by (document, row), which the buckets serve without an exchange at any level."""
+    root = root or parts.root
+    out = _rebuilt_in_place(parts, root)
+    return out.select(*[F.col(f"`{c}`") for c in parts.layout[root].columns])
+
+
+def _rebuilt_in_place(parts: ShredResult, table: str) -> DataFrame:
+    lay, frame = parts.layout[table], parts[table]
+    links = {f: link for f, link in lay.children.items() if link.kept}
+    own = F.struct(*[F.col(f"`{c}`") for c in frame.columns if c not in ("_root_id", "_row_id")])
+    children = {}
+    for fname, link in links.items():
+        child = _rebuilt_in_place(parts, link.table)
+        item = (F.col("value") if link.kind == VALUES else F.struct("key", "value") if link.kind == MAP
+                else _data_struct(child, parts.layout[link.table]))
+        children[fname] = child.select(F.col("_root_id").alias("_doc"), F.col("_parent_id").alias("_row"),
+                                       F.struct(F.col("_pos"), item.alias("v")).alias(f"_v_{fname}"))
+    # Spark knows a union's partitioning by its inputs' own columns, so the keys are named anew.
+    met = frame.select(F.col("_root_id").alias("_doc"), F.col("_row_id").alias("_row"), own.alias("_own"))
+    for child in children.values():
+        met = met.unionByName(child, allowMissingColumns=True)
+    collected = [F.any_value(f"_v_{f}", True).alias(f"_v_{f}") if link.kind == OBJECT
+                 else _by_pos(F.collect_list(f"_v_{f}"), children[f].schema[f"_v_{f}"].dataType).alias(f"_v_{f}")
+                 for f, link in links.items()]
+    met = met.groupBy("_doc", "_row").agg(F.any_value("_own", True).alias("_own"), *collected)
+    values = [F.col(f"_v_{f}.v").alias(f"_v_{f}") if link.kind == OBJECT
+              else _in_order(F.col(f"_v_{f}"), link.kind).alias(f"_v_{f}") for f, link in links.items()]
+    met = met.select(F.col("_doc").alias("_root_id"), F.col("_row").alias("_row_id"), "_own.*", *values)
+    restored = {f: F.col(f"_v_{f}") if link.kind == OBJECT else _or_empty(link, met.schema[f"_v_{f}"].dataType)
+                for f, link in links.items()}
+    return _with_fields(met, lay, restored)
+
+
 def rebuild(parts: ShredResult, layout: dict[str, TableLayout] | None = None,
             root: str | None = None, keep_id: bool = False, max_items: int | None = None) -> DataFrame:
     """Nested rows of ``root`` from its shredded tables (inverse of :func:`shred`).

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from weft.functions.scalar import key_text
 from weft.operators.frames import group_collect
 from weft.session import cut_lineage
 
@@ -79,8 +80,7 @@ def key_violations(df: DataFrame, keys) -> DataFrame:
 def fill_keys(df: DataFrame, key: str, natural) -> DataFrame:
     """Give rows without a key a deterministic id from their natural columns
     (recomputing a partition yields the same ids, unlike random UUIDs)."""
-    nat = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in natural]
-    return df.withColumn(key, F.coalesce(F.col(key).cast("string"), F.md5(F.concat_ws("|", *nat))))
+    return df.withColumn(key, F.coalesce(F.col(key).cast("string"), F.md5(key_text(*natural))))
 
 
 # ---------------------------------------------------------------- merges

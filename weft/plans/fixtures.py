@@ -18,6 +18,16 @@ LINE_FIELDS = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extend
 ORDER_FIELDS = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
+def key_text_sql(*parts: str) -> str:
+    """DuckDB form of :func:`weft.functions.scalar.key_text`."""
+    return " || ".join(f"coalesce(length({p}::varchar)::varchar || ':' || {p}::varchar, '~')" for p in parts)
+
+
+def root_id_sql(name: str, *parts: str) -> str:
+    """DuckDB form of :func:`weft.operators.nested.root_id`."""
+    return f"md5('{name}|' || {key_text_sql(*parts)})"
+
+
 def nested_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conv_id, turns array<struct<turn, role, text>>`` ordered by turn."""
     conv = read_table(spark, sf_dir, "conversations")

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft import catalog
-from weft.operators.nested import rebuild, shred
+from weft.operators.nested import rebuild, rebuild_local, save_bucketed, shred
 from weft.plans.fixtures import (
     LINE_FIELDS,
     events_with_props,
     nested_conversations,
     nested_customers,
+    root_id_sql,
 )
 from weft.plans.registry import query
 from weft.sinks.files import scratch_dir
 from weft.sources.files import read_json, read_json_variant, read_table
 
-_CONV_ID = "md5(concat_ws('|', 'conv', conv_id::varchar))"
+_CONV_ID = root_id_sql("conv", "conv_id")
 _CONV_POS = "(row_number() over (partition by conv_id order by turn) - 1)"
 _LINE_ORDER = ", ".join(LINE_FIELDS)
 
@@ -56,7 +57,8 @@ def q_shred_child(spark, sf_dir):
     return shred(nested_conversations(spark, sf_dir), "conv", key_cols=["conv_id"])["conv_turns"]
 
 
-_ORDER_ID = ("md5(concat_ws('|', md5(concat_ws('|', 'cust', o_custkey::varchar)), 'orders', "
+_CUST_ID = root_id_sql("cust", "o_custkey")
+_ORDER_ID = (f"md5(concat_ws('|', {_CUST_ID}, 'orders', "
              "(row_number() over (partition by o_custkey order by o_orderkey) - 1)::varchar))")
 
 
@@ -72,21 +74,27 @@ def q_shred_grandchild(spark, sf_dir):
     return _customers_shredded(spark, sf_dir)["cust_orders_lines"]
 
 
-@query("shred_struct", """
-select md5(concat_ws('|', md5(concat_ws('|', 'ev', event_id::varchar)), 'props', '0')) as _row_id,
-       md5(concat_ws('|', 'ev', event_id::varchar)) as _parent_id,
-       0 as _pos, (props::json->>'k')::int as k, '{}' as _children
+_EVENT_ID = root_id_sql("ev", "event_id")
+
+
+@query("shred_struct", f"""
+select md5(concat_ws('|', {_EVENT_ID}, 'props', '0')) as _row_id,
+       {_EVENT_ID} as _parent_id,
+       0 as _pos, (props::json->>'k')::int as k, '{{}}' as _children
 from events where props is not null
 """)
 def q_shred_struct(spark, sf_dir):
     return shred(events_with_props(spark, sf_dir), "ev", key_cols=["event_id"])["ev_props"]
 
 
-@query("shred_primitive_array", """
+_VEC_ID = root_id_sql("emb", "vec_id")
+
+
+@query("shred_primitive_array", f"""
 with e as (select vec_id, generate_subscripts(embedding, 1) - 1 as p, unnest(embedding) as value
            from embeddings)
-select md5(concat_ws('|', md5(concat_ws('|', 'emb', vec_id::varchar)), 'embedding', p::varchar)) as _row_id,
-       md5(concat_ws('|', 'emb', vec_id::varchar)) as _parent_id, p::int as _pos, value, '{}' as _children
+select md5(concat_ws('|', {_VEC_ID}, 'embedding', p::varchar)) as _row_id,
+       {_VEC_ID} as _parent_id, p::int as _pos, value, '{{}}' as _children
 from e
 """)
 def q_shred_primitive_array(spark, sf_dir):
@@ -97,7 +105,7 @@ def q_shred_primitive_array(spark, sf_dir):
 @query("shred_depth_limit", f"""
 with n as (select l_orderkey, count(*) as n_lines from lineitem group by l_orderkey)
 select {_ORDER_ID} as _row_id,
-       md5(concat_ws('|', 'cust', o_custkey::varchar)) as _parent_id,
+       {_CUST_ID} as _parent_id,
        (row_number() over (partition by o_custkey order by o_orderkey) - 1)::int as _pos,
        o_orderkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority,
        '{{"lines":{{"type":"array","table":"cust_orders_lines","state":"'
@@ -153,6 +161,15 @@ def q_rebuild_nested(spark, sf_dir):
     return rebuilt_summary(rebuild(parts))
 
 
+@query("rebuild_bucketed", _REBUILD_ORACLE)
+def q_rebuild_bucketed(spark, sf_dir):
+    """The same documents from tables saved bucketed by document: rows move once, when saved, and the
+    rebuild reads, groups and nests without an exchange at any level."""
+    docs = catalog.save(nested_customers(spark, sf_dir), "cust_docs", scratch_dir(spark, "docs"))
+    parts = save_bucketed(shred(docs, "cust", key_cols=["c_custkey"], root_ids=True), scratch_dir(spark, "bucketed"))
+    return rebuilt_summary(rebuild_local(parts))
+
+
 @query("rebuild_empty", """
 select o_orderkey, 0 as n_lines, false as lines_is_null
 from orders where o_orderkey not in (select l_orderkey from lineitem)

@@ -11,14 +11,16 @@ from weft.plans.q_sync import _O, _S, _T
 from weft.plans.q_validate import _EXPECTED
 from weft.plans.registry import query
 from weft.sinks.files import scratch_dir
-from weft.sources.files import read_table
-from weft.streaming import streams
+from weft.sources.files import read_table, stream_parquet, table_path
+from weft.streaming import run_state, streams
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
 def _events_stream(spark, sf_dir, max_files=None):
-    return streams.file_stream(spark, sf_dir, EVENTS_SCHEMA, glob="events.parquet", max_files=max_files)
+    options = {"maxFilesPerTrigger": str(max_files)} if max_files else {}
+    schema = spark.createDataFrame([], EVENTS_SCHEMA).schema
+    return stream_parquet(spark, table_path(sf_dir, "events"), schema, **options)
 
 
 @query("stream_validate", _EXPECTED + """
@@ -74,17 +76,19 @@ select o_orderkey, o_orderstatus, o_totalprice * 2 as o_totalprice from orders w
 """)
 def q_stream_upsert(spark, sf_dir):
     """A change stream (orders from 1998 on, price doubled, split over several
-    files) upserted batch by batch into the target table."""
+    files) upserted batch by batch into the target table. Every order's older change (another
+    price, a day before) arrives in the batches after it and must not win."""
     o = read_table(spark, sf_dir, "orders")
     cols = ["o_orderkey", "o_orderstatus", "o_totalprice"]
     out, ckpt = streams.scratch(spark, "stream_upsert")
     streams.seed_versioned(o.where(F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz"))
                            .select(*cols), out)
     drop = scratch_dir(spark, "drop") + "/changes"
-    (o.where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
-     .select(*cols, F.col("o_orderdate").alias("changed_at"))
-     .withColumn("o_totalprice", F.col("o_totalprice") * 2)
-     .repartition(4).write.parquet(drop))
+    changed = (o.where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
+               .select(*cols, F.col("o_orderdate").alias("changed_at")))
+    changed.withColumn("o_totalprice", F.col("o_totalprice") * 2).repartition(4).write.parquet(drop)
+    (changed.withColumn("o_totalprice", F.col("o_totalprice") * 5)
+     .withColumn("changed_at", F.expr("changed_at - interval 1 day")).repartition(2).write.mode("append").parquet(drop))
     changes = streams.file_stream(spark, drop, "o_orderkey bigint, o_orderstatus string, o_totalprice double, "
                                                "changed_at timestamp_ntz", max_files=1)
     streams.stream_upsert(changes, ["o_orderkey"], "changed_at", out, ckpt)
@@ -161,3 +165,61 @@ def q_stream_dedup(spark, sf_dir):
              .select("event_id", "user_id", "event_type"))
     streams.run_to_parquet(dedup, out, ckpt)
     return spark.read.parquet(out)
+
+
+@query("stream_late_rows", """
+select event_type, strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H:%M:%S') as window_start,
+       count(*) as n, round(sum(value), 2) + 0.0 as total, true as some_late
+from events group by 1, 2
+""")
+def q_stream_late_rows(spark, sf_dir):
+    """Files in an order that puts many rows behind the watermark: on time plus late is every row."""
+    drop = scratch_dir(spark, "drop") + "/events"
+    ev = read_table(spark, sf_dir, "events")
+    hour = F.pmod(F.hour("ts"), F.lit(3))
+    for k in (2, 0, 1):  # one file per trigger, each over the whole time span
+        ev.where(hour == k).coalesce(1).write.mode("append").parquet(drop)
+    out, ckpt = streams.scratch(spark, "stream_late")
+    stream = streams.file_stream(spark, drop, EVENTS_SCHEMA, max_files=1)
+    streams.stream_windows(stream, "ts", ["event_type"], "1 hour", "30 minutes", out, ckpt, total="value")
+    done = streams.corrected_windows(spark, out, EVENTS_SCHEMA, "ts", ["event_type"], "1 hour", total="value")
+    some_late = not spark.read.schema(EVENTS_SCHEMA).parquet(f"{out}/late").isEmpty()
+    return done.select(
+        "event_type", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+        (F.col("n_on_time") + F.col("n_late")).alias("n"), (F.round("total", 2) + 0.0).alias("total"),
+        F.lit(some_late).alias("some_late"))
+
+
+_RUNS = """
+with e as (select *, case when lag(ts) over w > ts - interval 30 minute then 0 else 1 end as new_run
+           from events window w as (partition by user_id order by ts, event_id)),
+     s as (select *, sum(new_run) over (partition by user_id order by ts, event_id) as run from e)
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as started,
+       strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') as ended, count(*) as n_events,
+       arg_max(event_type, (ts, event_id)) as last_status,
+       case when max(ts) + interval 30 minute <= (select max(ts) from events) - interval 10 minute
+            then 'closed' else 'open' end as state
+from s group by user_id, run
+"""
+
+
+@query("stream_run_timeout", _RUNS)
+def q_stream_run_timeout(spark, sf_dir):
+    """Runs of a user closed after 30 minutes without an event, over several micro-batches and a restart;
+    what the stream still holds open is read from its state."""
+    drop = scratch_dir(spark, "drop") + "/events"
+    ev = read_table(spark, sf_dir, "events")
+    first, last = ev.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [first + (last - first) * k / 5 for k in range(5)]
+    out, ckpt = streams.scratch(spark, "stream_runs")
+    for k, low in enumerate(cuts):  # files in time order, rows shuffled inside; a restart after the third
+        part = ev.where(F.col("ts") >= F.lit(low))
+        part = part.where(F.col("ts") < F.lit(cuts[k + 1])) if k < 4 else part
+        part.repartition(1, "event_type").write.mode("append").parquet(drop)
+        if k in (2, 4):
+            stream = streams.with_event_time(streams.file_stream(spark, drop, EVENTS_SCHEMA, max_files=1))
+            run_state.close_runs(stream, "user_id", "ts", "event_id", "event_type", out, ckpt, "30 minutes", "10 minutes")
+    runs = run_state.read_runs(spark, out, ckpt, "user_id")
+    stamp = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return runs.select("user_id", F.date_format("started", stamp).alias("started"),
+                       F.date_format("ended", stamp).alias("ended"), "n_events", "last_status", "state")

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from weft.operators import sync
-from weft.plans.fixtures import batch_responses, upsert_pair
+from weft.plans.fixtures import batch_responses, key_text_sql, upsert_pair
 from weft.plans.registry import query
 from weft.sources.files import read_table
 
@@ -66,10 +66,10 @@ def q_sync_delete(spark, sf_dir):
     return sync.delete(target, source, ["o_orderkey"])
 
 
-@query("fill_keys", """
+@query("fill_keys", f"""
 select o_orderkey,
        coalesce(case when o_orderstatus <> 'P' then o_orderkey::varchar end,
-                md5(concat_ws('|', o_custkey::varchar, o_orderdate::varchar, o_orderpriority))) as record_id
+                md5({key_text_sql('o_custkey', 'o_orderdate', 'o_orderpriority')})) as record_id
 from orders
 """)
 def q_fill_keys(spark, sf_dir):

@@ -90,17 +90,24 @@ def _has_changes(spark: SparkSession, root: str) -> bool:
     return fs.exists(p) and any(st.isDirectory() for st in fs.listStatus(p))
 
 
-def seed_versioned(df: DataFrame, root: str) -> None:
-    """The target before any batch: base 0."""
+def seed_versioned(df: DataFrame, root: str, order: str | None = None) -> None:
+    """The target before any batch: base 0. ``order``: the column that says how new a row is, if it has one."""
+    if order is not None:
+        df = df.withColumn("_order", F.col(order))
     df.write.mode("overwrite").parquet(f"{root}/base-{0:012d}")
 
 
 def read_versioned(spark: SparkSession, root: str, keys) -> DataFrame:
     """Current table: the newest row per key over the latest base and the change
-    batches after it (merge on read). ``max_by`` on the batch id is a partial
-    aggregate, so a hot key is reduced map-side; batches already compacted into
+    batches after it (merge on read). Newest is by the stored order value, if the batches were merged
+    with one, then by batch; a row without an order value is older than any with one. ``max_by`` is a
+    partial aggregate, so a hot key is reduced map-side; batches already compacted into
     the base are pruned by their partition value."""
-    keys = list(keys)
+    rows = _newest(spark, root, list(keys))
+    return rows.drop("_order")
+
+
+def _newest(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
     base = _latest_base(spark, root)
     parts = []
     first = 0
@@ -113,7 +120,8 @@ def read_versioned(spark: SparkSession, root: str, keys) -> DataFrame:
         raise FileNotFoundError(f"no versioned table under {root}")
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
     body = [c for c in rows.columns if c not in keys and c != "_batch"]
-    return (rows.groupBy(*keys).agg(F.max_by(F.struct(*body), F.col("_batch")).alias("_r"))
+    age = F.struct(*[c for c in ("_order", "_batch") if c in rows.columns])
+    return (rows.groupBy(*keys).agg(F.max_by(F.struct(*body), age).alias("_r"))
             .select(*keys, "_r.*"))
 
 
@@ -121,22 +129,25 @@ def _versioned_merge(batch: DataFrame, keys, root: str, batch_id: int, order: st
                      compact_every: int = 10) -> None:
     """Upsert one micro-batch: append its newest row per key as change batch
     ``batch_id`` (a replay overwrites the same partition), so a batch costs its
-    own size, not the target's. Every ``compact_every`` batches the merged
+    own size, not the target's. The ``order`` value is stored with each row, so a change that
+    arrives in a later batch than a newer one does not win. Every ``compact_every`` batches the merged
     table is written as a new base that later reads start from."""
     spark = batch.sparkSession
     if order is not None:
+        batch = batch.withColumn("_order", F.col(order))
         body = [c for c in batch.columns if c not in keys]
         batch = (batch.groupBy(*keys).agg(F.max_by(F.struct(*body), F.col(order)).alias("_r"))
                  .select(*keys, "_r.*"))
     base = _latest_base(spark, root)
     if base is not None:  # changes carry the target's columns
-        batch = batch.select(*spark.read.parquet(base[0]).columns)
+        columns = [c for c in spark.read.parquet(base[0]).columns if c != "_order"]
+        batch = batch.select(*columns, *[c for c in ("_order",) if c in batch.columns])
     (batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(f"{root}/changes"))
     if (batch_id + 1) % compact_every == 0:
         target = f"{root}/base-{batch_id + 1:012d}"
         if base is None or base[0] != target:
-            read_versioned(spark, root, keys).write.mode("overwrite").parquet(target)
+            _newest(spark, root, list(keys)).write.mode("overwrite").parquet(target)
 
 
 def stream_shred(docs: DataFrame, name: str, key_cols, out: str, checkpoint: str) -> None:
@@ -158,13 +169,59 @@ def stream_shred(docs: DataFrame, name: str, key_cols, out: str, checkpoint: str
 
 def stream_upsert(changes: DataFrame, keys, order: str, out: str, checkpoint: str) -> None:
     """Write-back of a change stream: keep the newest change per key inside each
-    batch, then upsert into the versioned target."""
+    batch, then upsert into the versioned target. The newest change by ``order`` wins,
+    whatever the batches they arrive in."""
     def merge(batch: DataFrame, batch_id: int) -> None:
         _versioned_merge(batch, list(keys), out, batch_id, order=order)
 
     run_foreach_batch(changes, merge, checkpoint)
 
 
+def stream_windows(events: DataFrame, ts: str, keys, window: str, delay: str, out: str, checkpoint: str,
+                   **sums: str) -> None:
+    """Tumbling windows that lose no row. A row behind the watermark (newest ``ts`` of all earlier batches less
+    ``delay``) is stored in ``out/late`` with its batch; all others are counted into ``out/windows``, a row
+    per batch, window and key: ``n`` and the ``sums`` (name=column). Each batch writes its own partition and
+    judges by the marks of earlier ones only, so a replayed batch gives the same files."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.persist()
+        try:
+            mark = None
+            if batch_id and _fs(spark, f"{out}/marks")[0].exists(_fs(spark, f"{out}/marks")[1]):
+                mark = spark.read.parquet(f"{out}/marks").where(F.col("_batch") < batch_id).agg(F.max("seen")).first()[0]
+            late = F.lit(False) if mark is None else F.coalesce(F.col(ts) < F.lit(mark) - F.expr(f"interval {delay}"), F.lit(False))
+            _batch_write(_window_counts(batch.where(~late), ts, keys, window, sums), f"{out}/windows", batch_id)
+            _batch_write(batch.where(late), f"{out}/late", batch_id)
+            _batch_write(batch.agg(F.max(ts).alias("seen")), f"{out}/marks", batch_id)
+        finally:
+            batch.unpersist()
+
+    run_foreach_batch(events, write, checkpoint)
+
+
+def _batch_write(df: DataFrame, path: str, batch_id: int) -> None:
+    (df.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(path))
+
+
+def _window_counts(rows: DataFrame, ts: str, keys, window: str, sums: dict) -> DataFrame:
+    return rows.groupBy(F.window(ts, window).alias("window"), *keys).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(name) for name, c in sums.items()])
+
+
+def corrected_windows(spark: SparkSession, out: str, schema, ts: str, keys, window: str, **sums: str) -> DataFrame:
+    """The correction step of :func:`stream_windows`: late rows merged into their windows. Per window and key:
+    ``n_on_time``, ``n_late`` and the sums over both. ``schema`` is that of the late rows."""
+    counts = spark.read.parquet(f"{out}/windows").drop("_batch").withColumn("late", F.lit(False))
+    late = spark.read.schema(schema).parquet(f"{out}/late")
+    late = _window_counts(late, ts, keys, window, sums).withColumn("late", F.lit(True))
+    return counts.unionByName(late).groupBy("window", *keys).agg(
+        F.coalesce(F.sum(F.when(~F.col("late"), F.col("n"))), F.lit(0)).alias("n_on_time"),
+        F.coalesce(F.sum(F.when(F.col("late"), F.col("n"))), F.lit(0)).alias("n_late"),
+        *[F.sum(name).alias(name) for name in sums])
+
+
 def scratch(spark: SparkSession, purpose: str) -> tuple[str, str]:
     base = scratch_dir(spark, purpose)
     return f"{base}/out", f"{base}/checkpoint"
