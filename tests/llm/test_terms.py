@@ -101,7 +101,7 @@ def brute_collocations(rows, min_count, top, contained=100):
     return sorted(out)
 
 
-@pytest.mark.parametrize("range_bytes, shard, lot", [(1 << 23, 1 << 23, 1 << 16), (6_000, 9_000, 20)])
+@pytest.mark.parametrize("range_bytes, shard, lot", [(1 << 23, 1 << 23, 1 << 16), (30_000, 20_000, 200)])
 def test_collocations(spark, mixed, range_bytes, shard, lot, monkeypatch):
     monkeypatch.setattr(collocations, "SHARD", shard)
     monkeypatch.setattr(collocations, "LOT", lot)

@@ -52,7 +52,7 @@ def _names(docs: DataFrame) -> list[Column]:
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, count, docs) of slices of texts; the same term may have several rows."""
     def run(batches):
-        for batch in T.slices(batches, max_bytes=1 << 23, max_rows=1 << 14):
+        for batch in T.slices(batches, max_bytes=1 << 22, max_rows=1 << 13):
             data, offsets = T.utf8(batch.column(2))
             lang, langs = spans.codes(batch.column(0))
             source, sources = spans.codes(batch.column(1))
@@ -98,7 +98,14 @@ def source_groups(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def _share(count: str, n: str) -> Column:
-    return F.expr(f"1 + cast({SCALE} * cast({count} + 2 as decimal(38,0)) div nullif({n} + 2 * v, 0) as long)")
+    """``1 + floor(SCALE * (count + 2) / (n + 2 v))`` in three decimal places at a time, so that 64 bits hold
+    every product up to 9 * 10^15 words."""
+    whole = f"nullif({n} + 2L * v, 0)"
+    total, rest = f"(({count} + 2L) div {whole}) * {SCALE}L", f"(({count} + 2L) % {whole})"
+    for unit in (10**6, 10**3, 1):
+        total += f" + ({rest} * 1000L div {whole}) * {unit}L"
+        rest = f"({rest} * 1000L % {whole})"
+    return F.expr(f"1L + {total}")
 
 
 def _cost(p: str, q: str) -> Column:
