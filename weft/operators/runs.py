@@ -7,9 +7,13 @@ small and AQE can split a run that owns a large share of the rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.session import cut_lineage
+
 # Group statuses (strongest first), the log truncation marker,
 # the per-step log budget, the history list size and snippet width, and the
 # characters a name normalisation replaces.
@@ -173,3 +177,39 @@ def dry_run(steps: DataFrame, rules: dict[str, str], group: str = "group_name")
         runs_all = runs_all & F.col(name)
     return (planned.groupBy(group, F.when(runs_all, "run").otherwise("skip").alias("action"))
             .agg(F.count(F.lit(1)).alias("n_steps")))
+
+
+def step_outcomes(steps: DataFrame, needs: DataFrame, run: str = "run_id", step: str = "step",
+                  outcome: str = "outcome") -> DataFrame:
+    """Final outcome of every step when steps depend on the outcomes of others.
+
+    ``steps``: run, step and the outcome it has if it runs. ``needs``: run, step, ``on`` (a step of the run) and
+    ``wanted`` (the outcomes of ``on`` it runs after; null: any). A step runs if all its needs are met,
+    else it is skipped, which is an outcome others may want. Steps that wait for each other, or for
+    a step that does not exist, stay pending. One row per (run, step) is expected.
+
+    Evaluated level by level: only the steps settled in the last round meet the needs on them, and
+    what waiting steps have heard so far is a count and a flag, so a round costs its own steps.
+    """
+    needs = needs.select(F.col(run).alias("_run"), F.col(step).alias("_step"), "on", "wanted")
+    count = needs.groupBy("_run", "_step").agg(F.count("*").alias("_needs"))
+    own = steps.select(F.col(run).alias("_run"), F.col(step).alias("_step"), F.col(outcome).alias("_outcome"))
+    own = cut_lineage(own.join(count, ["_run", "_step"], "left").na.fill(0, ["_needs"]))
+    settled = cut_lineage(own.where("_needs = 0").select("_run", "_step", F.col("_outcome").alias("_final")))
+    waiting = own.where("_needs > 0").withColumn("_heard", F.lit(0).cast("long")).withColumn("_met", F.lit(True))
+    rounds = [settled]
+    while not settled.isEmpty():
+        news = needs.join(settled.select("_run", F.col("_step").alias("on"), "_final"), ["_run", "on"])
+        fits = F.col("wanted").isNull() | F.coalesce(F.array_contains("wanted", F.col("_final")), F.lit(False))
+        news = news.groupBy("_run", "_step").agg(F.count("*").alias("_new"), F.min(fits).alias("_fits"))
+        waiting = cut_lineage(waiting.join(news, ["_run", "_step"], "left").select(
+            "_run", "_step", "_outcome", "_needs", (F.col("_heard") + F.coalesce("_new", F.lit(0))).alias("_heard"),
+            (F.col("_met") & F.coalesce("_fits", F.lit(True))).alias("_met")))
+        ready = F.col("_heard") == F.col("_needs")
+        settled = waiting.where(ready).select(
+            "_run", "_step", F.when(F.col("_met"), F.col("_outcome")).otherwise(SKIPPED).alias("_final"))
+        waiting = waiting.where(~ready)
+        rounds.append(settled)
+    rounds.append(waiting.select("_run", "_step", F.lit(PENDING).alias("_final")))
+    return reduce(DataFrame.unionByName, rounds).select(
+        F.col("_run").alias(run), F.col("_step").alias(step), F.col("_final").alias("final_outcome"))

@@ -85,16 +85,32 @@ def fill_keys(df: DataFrame, key: str, natural) -> DataFrame:
 
 # ---------------------------------------------------------------- merges
 
-def upsert(target: DataFrame, source: DataFrame, keys, partial: bool = False) -> DataFrame:
-    """Matched keys take the source row, unmatched source rows are inserted.
+def one_per_key(source: DataFrame, keys, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The newest source row per key by ``order``; without an order the source as it is, and a frame without
+    rows of its shape that fails when it runs if a key occurs twice (a count of the keys alone)."""
+    keys = list(keys)
+    if order is not None:
+        return dedupe_latest(source, keys, order).select(*source.columns), source.limit(0)
+    counts = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    said = F.raise_error(F.concat(F.lit(f"source key {','.join(keys)} occurs more than once: "), key_text(*keys)))
+    twice = F.when(F.col("_n") > 1, said.cast("string"))  # one expression, so that only such keys reach the error
+    none = [F.col(c) if c in keys else F.lit(None).cast(source.schema[c].dataType).alias(c) for c in source.columns]
+    return source, counts.where(twice.isNotNull()).select(*none)
+
+
+def upsert(target: DataFrame, source: DataFrame, keys, partial: bool = False, order: str | None = None) -> DataFrame:
+    """Matched keys take the source row, unmatched source rows are inserted. A key that the source has twice
+    fails, unless ``order`` names the column whose greatest value wins.
 
     ``partial=True``: the source may carry only some columns; those overwrite
     the target's where the source value is present (full outer join + coalesce).
     """
     keys = resolve_columns(source, keys)
+    source, failing = one_per_key(source, keys, order)
     if not partial:
         kept = target.join(source.select(*keys), keys, "left_anti")
-        return kept.unionByName(source.select(*target.columns))
+        return kept.unionByName(source.select(*target.columns)).unionByName(failing.select(*target.columns))
+    source = source.unionByName(failing)
     s = source.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in source.columns if c not in keys])
     j = target.join(s, keys, "full")
     cols = [F.coalesce(F.col(f"_s_{c}"), F.col(c)).alias(c) if c in source.columns and c not in keys
@@ -102,17 +118,23 @@ def upsert(target: DataFrame, source: DataFrame, keys, partial: bool = False) ->
     return j.select(*cols)
 
 
-def insert(target: DataFrame, source: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
-    """Insert-only: returns (new target, rejected source rows whose key exists)."""
+def insert(target: DataFrame, source: DataFrame, keys, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Insert-only: returns (new target, rejected source rows whose key exists). Repeated source keys as in
+    :func:`upsert`."""
     keys = resolve_columns(source, keys)
+    source, failing = one_per_key(source, keys, order)
+    source = source.unionByName(failing)
     fresh = source.join(target.select(*keys), keys, "left_anti")
     rejected = source.join(target.select(*keys), keys, "left_semi")
     return target.unionByName(fresh.select(*target.columns)), rejected
 
 
-def update(target: DataFrame, source: DataFrame, keys) -> DataFrame:
-    """Update-only: matched rows take the source's non-key values; others unchanged."""
+def update(target: DataFrame, source: DataFrame, keys, order: str | None = None) -> DataFrame:
+    """Update-only: matched rows take the source's non-key values; others unchanged. Repeated source keys as in
+    :func:`upsert`."""
     keys = resolve_columns(source, keys)
+    source, failing = one_per_key(source, keys, order)
+    source = source.unionByName(failing)
     body = [c for c in source.columns if c not in keys]
     s = source.select(*keys, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_s_{c}") for c in body])
     j = target.join(s, keys, "left")

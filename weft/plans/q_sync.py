@@ -6,10 +6,12 @@ import json
 
 from pyspark.sql import functions as F
 
-from weft.operators import sync
+from weft.operators import ledger, sync
 from weft.plans.fixtures import batch_responses, key_text_sql, upsert_pair
 from weft.plans.registry import query
+from weft.sinks.files import scratch_dir
 from weft.sources.files import read_table
+from weft.tables import SavedTable
 
 _O = "select o_orderkey, o_orderstatus, o_totalprice from orders"
 _T = "o_orderdate < timestamp '1999-01-01'"
@@ -171,3 +173,53 @@ from orders
 def q_sync_summary(spark, sf_dir):
     plan = sync.batch_plan(read_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", BATCH)
     return sync.sync_summary(sync.batch_outcomes(batch_responses(spark, sf_dir, BATCH), BATCH), plan)
+
+
+@query("sync_resume", f"""
+with s as (select * from orders where {_S})
+select 1 as run, o_orderkey, {_T} as ok, case when not ({_T}) then 'key is not in the target' end as message from s
+union all
+select 2 as run, o_orderkey, true as ok, null as message from s where not ({_T})
+""")
+def q_sync_resume(spark, sf_dir):
+    """Update-only, then upsert, then upsert again over one ledger: the second run sends only what the first could
+    not deliver, the third sends nothing."""
+    target, source = upsert_pair(spark, sf_dir)
+    root = scratch_dir(spark, "sync")
+    saved, book = SavedTable(spark, f"{root}/target"), ledger.open_ledger(spark, f"{root}/ledger")
+    saved.create(target)
+    for mode in ("update", "upsert", "upsert"):
+        ledger.sync(source, saved, book, ["o_orderkey"], mode, BATCH)
+    key = F.regexp_extract("record_key", "^\\d+:(.*)$", 1).cast("bigint")
+    return book.read().select("run", key.alias("o_orderkey"), "ok", "message")
+
+
+@query("sync_newest", f"""
+{_O} where {_T} and not ({_S})
+union all
+select o_orderkey, o_orderstatus, o_totalprice * 2 as o_totalprice from orders where {_S}
+""")
+def q_sync_newest(spark, sf_dir):
+    """A source that repeats every key, each time with an older price: the newest change wins."""
+    target, source = upsert_pair(spark, sf_dir)
+    both = source.withColumn("changed", F.lit(2)).unionByName(
+        source.withColumn("o_totalprice", F.col("o_totalprice") + 1).withColumn("changed", F.lit(1)))
+    return sync.upsert(target, both, ["o_orderkey"], order="changed")
+
+
+@query("table_evolve", """
+select 0 as version, o_orderkey, o_orderstatus, null::varchar as channel from orders where o_orderkey % 3 = 0
+union all
+select 2, o_orderkey, o_orderstatus, case when o_orderkey % 3 = 0 then 'store' else 'web' end
+from orders where o_orderkey % 3 <= 1
+""")
+def q_table_evolve(spark, sf_dir):
+    """A saved table gets a column and rows; both the old and the new version are read."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    table = SavedTable(spark, scratch_dir(spark, "evolve") + "/orders")
+    table.create(o.where("o_orderkey % 3 = 0"))
+    table.add_column("channel", "string", "store")
+    table.insert(o.where("o_orderkey % 3 = 1").withColumn("channel", F.lit("web")))
+    old = table.read(0).withColumn("channel", F.lit(None).cast("string")).withColumn("version", F.lit(0))
+    return old.unionByName(table.read(2).withColumn("version", F.lit(2))).select(
+        "version", "o_orderkey", "o_orderstatus", "channel")

@@ -32,5 +32,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from weft.plans import (  # noqa: F401
         q_compose, q_frames, q_nested, q_runs, q_slice, q_sources, q_sql, q_streaming, q_sync, q_validate,
-        q_variants,
+        q_more, q_variants,
     )
