@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered_queries():
     registry.load_all()
-    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{k}" for k in range(1, 14)} | {"pipeline"}
     assert set(registry.ORACLES) <= set(registry.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality_rules", "near_duplicates", "repeated_passages", "benchmark_leaks", "source_mix"]
