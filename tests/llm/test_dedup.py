@@ -72,6 +72,18 @@ def test_near_dedup_keeps_columns_and_null_ids(docs, rows):
     assert Counter(r.doc_id for r in kept.select("doc_id").collect()) == want
 
 
+def test_rows_that_repeat_an_id_are_judged_by_their_own_text(spark):
+    x, y = prose_of(1), prose_of(2)
+    df = spark.createDataFrame([(3, x), (5, x), (5, y), (None, x)], "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.text) for r in near_dedup.dedup(df).collect())
+    assert got == sorted([(3, x), (5, y), (-1, x)])
+
+
+def prose_of(seed):
+    rng = random.Random(seed)
+    return " ".join(f"p{rng.randrange(10**6)}" for _ in range(50))
+
+
 def test_large_groups_are_compared_in_blocks(docs, rows, monkeypatch):
     """Buckets and clusters cut into blocks of a few rows give the components that whole ones give."""
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
@@ -276,6 +288,64 @@ def test_two_passages_close_together(spark):
     assert {i: len(need[i] - got[i]) for i in need if need[i] - got[i]} == {}
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.05, 0.1, 0.15, 0.18, 0.2])
+def test_fuzzy_recall(spark, rate):
+    """Of 60-word passages with random edits, 80 % of the words equal or more, at least nine in ten are found; exact
+    repeats whose halves stand in two other earlier documents too, and for any number of partitions."""
+    rng = random.Random(int(rate * 100))
+    own = lambda k: [f"r{rng.randrange(10**9)}" for _ in range(k)]
+    rows, need = [], {}
+    while len(need) < 60:
+        passage = own(60)
+        changed = [f"r{rng.randrange(10**9)}" if rng.random() < rate else w for w in passage]
+        if sum(a == b for a, b in zip(passage, changed)) < 48:
+            continue
+        n = 10 * len(need)
+        rows.append((n, " ".join(own(30) + passage + own(20))))
+        rows.append((n + 3, " ".join(own(25) + changed + own(40))))
+        need[n + 3] = (25, 85)
+    for k in range(30 if rate == 0 else 0):
+        n, left, right = 10_000 + 10 * k, own(30), own(30)
+        rows += [(n, " ".join(own(20) + left + own(9))), (n + 1, " ".join(own(5) + right + own(30))),
+                 (n + 2, " ".join(left + right + own(50))), (n + 3, " ".join(own(12) + left + right + own(12)))]
+        need[n + 3] = (12, 72)
+    results = []
+    for parts in ((1, 4, 8) if rate in (0.0, 0.18) else (4,)):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        results.append(sorted(map(tuple, substring_dedup.passages(df).collect())))
+    assert all(r == results[0] for r in results)
+    hit = {r[0] for r in results[0] for a, z in [need.get(r[0], (0, 0))] if min(r[3], z) - max(r[2], a) >= 40}
+    print("recall", rate, len(hit) / len(need))
+    assert len(hit) >= 0.9 * len(need)
+
+
+def test_chains_equal_trying_all_predecessors():
+    """The tree finds chains of nearly the score of a scan of all fragments in reach: it may miss steps that overlap
+    in the earlier text only."""
+    S = substring_dedup
+    rng = random.Random(11)
+    exact = 0
+    for _ in range(200):
+        spots = sorted({(rng.randrange(300), rng.randrange(300)) for _ in range(rng.randrange(2, 40))})
+        spots += [(x + d, y + d) for x, y in spots[:5] for d in range(1, 5)]
+        pos, src = (np.array(v) for v in zip(*sorted(set(spots))))
+        first, last, own = S.fragments(pos, src)
+        order = np.lexsort((src[first], pos[first]))
+        first, last, own = first[order], last[order], own[order]
+        score = own.tolist()
+        for i in range(len(first)):
+            for j in range(len(first)):
+                x, y = pos[first[i]] - pos[last[j]], src[first[i]] - src[last[j]]
+                if 0 < x <= S.MAX_GAP and 0 < y <= S.MAX_GAP:
+                    new = min(S.K, x, y)
+                    score[i] = max(score[i], own[i] + score[j] - (S.K - new) - S.GAP * (x + y - 2 * new))
+        best = S.chains(pos, src)[0]
+        ends = {int(last[i]): score[i] for i in np.argsort(score)}
+        assert ends[int(best[-1])] >= max(score) - S.K
+        exact += ends[int(best[-1])] == max(score)
+    assert exact >= 180
+
+
 def test_segments_equal_trying_all(monkeypatch):
     """The stretches of an alignment cover what all pairs of its equal words cover."""
     monkeypatch.setattr(substring_dedup, "MIN_WORDS", 8)

@@ -255,6 +255,16 @@ def test_a_long_item_does_not_widen_passages(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(2, 1), (3, 2)}
 
 
+def test_rows_with_null_and_repeated_ids_are_judged_by_their_text(spark):
+    item = " ".join(f"q{k}" for k in range(30)) + ". " + " ".join(f"a{k}" for k in range(12))
+    clean = " ".join(f"c{k}" for k in range(60))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, f"so {item} end"), (None, clean), (4, item), (4, clean), (5, None)],
+                                 "doc_id long, text string")
+    left = decontam.decontaminate(docs, items).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in left) == [(-1, clean), (4, clean), (5, "")]
+
+
 def test_item_without_id(spark):
     """An item with a null id is searched like any other."""
     docs, items, want, held, _ = leaky(spark)

@@ -73,8 +73,12 @@ def sets(column) -> tuple[np.ndarray, np.ndarray]:
     return shingle, np.searchsorted(owner, np.arange(len(column) + 1))
 
 
+def _digest(text: str):
+    return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row: set size, a 128-bit hash of the set, the band keys and the odd sketch."""
+    """Per row: the text's digest, set size, a 128-bit hash of the set, the band keys and the odd sketch."""
     def run(batches):
         for batch in T.slices(batches):
             shingle, first = sets(batch.column(1))
@@ -96,15 +100,15 @@ def signatures(docs: DataFrame) -> DataFrame:
             counts = np.zeros(n, np.int64)
             counts[some] = BANDS
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), T.int_array(size.astype(np.int64)), T.int_array(low.view(np.int64)),
+                [batch.column(0), batch.column(2), T.int_array(size.astype(np.int64)), T.int_array(low.view(np.int64)),
                  T.int_array(high.view(np.int64)), T.lists(bands.reshape(-1).view(np.int64), counts),
                  pa.array([x.tobytes() for x in odd], pa.binary()),
                  pa.array([x.tobytes() for x in used], pa.binary())],
-                ["doc_id", "n_shingles", "low", "high", "bands", "odd", "used"])
+                ["doc_id", "digest", "n_shingles", "low", "high", "bands", "odd", "used"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return spread_rows(docs.select("doc_id", "text")).mapInArrow(
-        run, f"doc_id {kind}, n_shingles long, low long, high long, bands array<long>, odd binary, used binary")
+    return spread_rows(docs.select("doc_id", "text", _digest("text").alias("digest"))).mapInArrow(
+        run, f"doc_id {kind}, digest string, n_shingles long, low long, high long, bands array<long>, odd binary, used binary")
 
 
 def sketches(shingle: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -275,6 +279,10 @@ def links(members: DataFrame, docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
+    return _judged(docs).drop("digest")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut_lineage(signatures(docs))
@@ -292,16 +300,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = clusters(buckets, sketch).join(sketch, "rep")
     groups = components(links(members, docs)).withColumnRenamed("node", "rep")
 
-    out = signed.select("doc_id", *one_set).join(reps.select(*one_set, "rep"), one_set, "left").join(groups, "rep", "left")
+    out = signed.select("doc_id", "digest", *one_set).join(reps.select(*one_set, "rep"), one_set, "left").join(groups, "rep", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_shingles",
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "digest", "n_shingles",
                       own.cast(kind).alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The rows of ``docs`` whose document is the smallest of its component. A row is known by its id and its
+    text: of rows that repeat an id, those go whose own text has a smaller document; rows that repeat both are
+    one document and stay or go together."""
+    gone = _judged(docs).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_gone_text")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["_gone"]) & (_digest("text") == gone["_gone_text"]), "left_anti")
 
 
 ORACLE = r"""
