@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weft.llm import decontam, langid, lm_score, quality
 from weft.llm import text as T
+from weft.llm import text as T
 from weft.sources.files import read_table
 from tests.conftest import SF_SMALL
 
@@ -49,6 +50,26 @@ def test_hash_index_finds_exactly_its_hashes():
 
 # ---- language identification
 
+def test_hashes_have_no_roots_in_texts():
+    """The Thue-Morse word and its complement, of any length, differ under the hash; equal ranges agree."""
+    word = b"a"
+    for _ in range(12):
+        word += bytes(97 + 98 - c for c in word)
+        other = bytes(97 + 98 - c for c in word)
+        data = np.frombuffer(word + other + word, np.uint8)
+        n = len(word)
+        got = T.span_hashes(data, np.array([0, n, 2 * n]), np.array([n, 2 * n, 3 * n]))
+        assert got[0] == got[2] != got[1]
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    start = rng.integers(0, 3990, 2000)
+    end = np.minimum(start + rng.integers(0, 30, 2000), 4000)
+    seen = {}
+    for a, z, h in zip(start.tolist(), end.tolist(), T.span_hashes(data, start, end).tolist()):
+        assert seen.setdefault(h, data[a:z].tobytes()) == data[a:z].tobytes()
+    assert len(seen) == len({data[a:z].tobytes() for a, z in zip(start, end)})
+
+
 def test_language_accuracy_on_held_out(spark):
     docs = read_table(spark, SF_SMALL, "documents")
     got = langid.op2(spark, SF_SMALL).join(docs.select("doc_id", "lang"), "doc_id").collect()

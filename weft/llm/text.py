@@ -118,13 +118,29 @@ def prefix(data: np.ndarray) -> np.ndarray:
     return acc
 
 
+_ODD = U64(0xD1B54A32D192ED03)
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, acc: np.ndarray | None = None) -> np.ndarray:
-    """64-bit hash of each byte range: equal ranges have equal hashes wherever they stand."""
+    """64-bit hash of each byte range: equal ranges have equal hashes wherever they stand. Eight bytes at a time are
+    mixed in, without a polynomial that some texts are the roots of. With ``acc`` (:func:`prefix`) the
+    ranges may overlap at no cost; that hash is a polynomial, for callers that compare bytes afterwards."""
     if not len(start):
         return np.zeros(0, U64)
-    acc = prefix(data) if acc is None else acc
-    inverse = powers(len(data) + 1)[1]
-    return mix((acc[end] - acc[start]) * inverse[start] + (end - start).astype(U64))
+    if acc is not None:
+        inverse = powers(len(data) + 1)[1]
+        return mix((acc[end] - acc[start]) * inverse[start] + (end - start).astype(U64))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    who, at, left = np.arange(len(start)), start, end - start
+    out = mix(left.astype(U64) * _ODD + _ODD)
+    while len(who):
+        out[who] = mix((out[who] ^ (eight[at] & _LOW_BYTES[np.minimum(left, 8)])) * _ODD)
+        more = np.flatnonzero(left > 8)
+        who, at, left = who[more], at[more] + 8, left[more] - 8
+    return out
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
