@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 
 def join_asof(left: DataFrame, right: DataFrame, by, ts: str, right_ts: str | None = None,
-              bucket_seconds: int = 86400, right_prefix: str = "") -> DataFrame:
-    """Left rows with the columns of their as-of right row (``right_prefix`` + name)."""
+              bucket_seconds: int = 86400, right_prefix: str = "", tie: str | None = None) -> DataFrame:
+    """Left rows with the columns of their as-of right row (``right_prefix`` + name). Of right rows with equal times
+    the one with the greatest ``tie`` column is taken; without one, with the greatest other columns in their order
+    (as JSON text)."""
     by = [by] if isinstance(by, str) else list(by)
     right_ts = right_ts or ts
     r_cols = [c for c in right.columns if c not in by]
@@ -37,12 +39,13 @@ def join_asof(left: DataFrame, right: DataFrame, by, ts: str, right_ts: str | No
         return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (bucket_seconds * 1_000_000)).cast("bigint")
 
     r = right.select(*by, F.col(right_ts).alias("_ts"), bucket(right_ts).alias("_b"),
-                     F.struct(*[F.col(c).alias(out_names[c]) for c in r_cols]).alias("_r"))
+                     F.struct(*[F.col(c).alias(out_names[c]) for c in r_cols]).alias("_r"),
+                     (F.col(tie) if tie else F.to_json(F.struct(*[F.col(c) for c in r_cols]))).alias("_tie"))
     lt = left.select(*by, F.col(ts).alias("_ts"), bucket(ts).alias("_b"),
                      F.struct(*[F.col(c) for c in left.columns]).alias("_l"))
 
-    # 1. latest right row per (key, bucket); ties in time keep the later one in right order
-    last_in_bucket = r.groupBy(*by, "_b").agg(F.max_by("_r", "_ts").alias("_last"))
+    # 1. latest right row per (key, bucket)
+    last_in_bucket = r.groupBy(*by, "_b").agg(F.max_by("_r", F.struct("_ts", "_tie")).alias("_last"))
     # 2. carried value for every (key, bucket) present on either side
     seen = lt.select(*by, "_b").union(r.select(*by, "_b")).distinct()
     wk = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -50,10 +53,10 @@ def join_asof(left: DataFrame, right: DataFrame, by, ts: str, right_ts: str | No
              .select(*by, "_b", F.last("_last", ignorenulls=True).over(wk).alias("_carry")))
     # 3. running latest right row inside each (key, bucket); right sorts before left at equal times
     both = (lt.select(*by, "_ts", "_b", F.lit(1).alias("_side"), "_l", F.lit(None).cast(r.schema["_r"].dataType)
-                      .alias("_r"))
+                      .alias("_r"), F.lit(None).cast(r.schema["_tie"].dataType).alias("_tie"))
             .unionByName(r.select(*by, "_ts", "_b", F.lit(0).alias("_side"),
-                                  F.lit(None).cast(lt.schema["_l"].dataType).alias("_l"), "_r")))
-    wb = (Window.partitionBy(*by, "_b").orderBy("_ts", "_side")
+                                  F.lit(None).cast(lt.schema["_l"].dataType).alias("_l"), "_r", "_tie")))
+    wb = (Window.partitionBy(*by, "_b").orderBy("_ts", "_side", "_tie")
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     matched = (both.withColumn("_m", F.last("_r", ignorenulls=True).over(wb))
                .where(F.col("_side") == 1)

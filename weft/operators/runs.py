@@ -213,3 +213,19 @@ def step_outcomes(steps: DataFrame, needs: DataFrame, run: str = "run_id", step:
     rounds.append(waiting.select("_run", "_step", F.lit(PENDING).alias("_final")))
     return reduce(DataFrame.unionByName, rounds).select(
         F.col("_run").alias(run), F.col("_step").alias(step), F.col("_final").alias("final_outcome"))
+
+
+# Columns of the stored step log (fixed values).
+STEP_LOG = "run_id string, flow string, cell_index int, status string, duration int, logs string, outputs string, error string"
+
+
+def log_steps(table, steps: DataFrame) -> int:
+    """Append executed steps to the saved step log (a :class:`weft.tables.SavedTable`), created on first use.
+    ``steps`` has the columns of :data:`STEP_LOG`; ``logs`` is cut to the log budget of a step."""
+    names = [c.split()[0] for c in STEP_LOG.split(", ")]
+    logs = F.when(F.octet_length("logs") > LOG_BUDGET_BYTES, F.concat(
+        F.substring("logs", 1, LOG_BUDGET_BYTES // 4), F.lit("\n" + TRUNCATION_MARKER))).otherwise(F.col("logs"))
+    rows = steps.withColumn("logs", logs).select(*names)
+    if not table.versions():
+        table.create(steps.sparkSession.createDataFrame([], STEP_LOG))
+    return table.insert(rows)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weft import catalog
 from weft.operators import intervals, runs, sessions, sketches
 from weft.plans.registry import query
 from weft.sinks.files import scratch_dir
@@ -127,3 +128,18 @@ def q_connector_roundtrip(spark, sf_dir):
     streams.run_to_parquet(spark.readStream.format(name).schema(schema).load(path), out, ckpt)
     return batch.withColumn("side", F.lit("batch")).unionByName(
         spark.read.parquet(out).withColumn("side", F.lit("stream")))
+
+
+@query("sql_statements", """
+select c_mktsegment, count(*) as n_orders, round(sum(o_totalprice), 2) + 0.0 as total
+from orders join customer on c_custkey = o_custkey where o_orderstatus <> 'P' group by c_mktsegment having count(*) > 1
+""")
+def q_sql_statements(spark, sf_dir):
+    """A step of several statements: a view, a result that a later statement reads by its published name, the last result."""
+    catalog.register_tables(spark, sf_dir, ["orders", "customer"])
+    found = catalog.run_statements(spark, "steps_done", [
+        "create or replace temporary view open_orders as select * from orders where o_orderstatus <> 'P'",
+        "select c_mktsegment, o_totalprice from open_orders join customer on c_custkey = o_custkey",
+        "select c_mktsegment, count(*) as n_orders, round(sum(o_totalprice), 2) + 0.0 as total from steps_done_2 "
+        "group by c_mktsegment having count(*) > 1"])
+    return found["steps_done_3"]

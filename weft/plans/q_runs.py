@@ -9,6 +9,7 @@ from weft.plans.fixtures import run_events, step_results
 from weft.plans.registry import query
 from weft.sinks.files import scratch_dir
 from weft.sources.files import read_table
+from weft.tables import SavedTable
 
 _STEPS = """
 with s as (
@@ -163,3 +164,24 @@ def q_dry_run_rules(spark, sf_dir):
     evaluated with an empty context (no outputs yet), then counted per group."""
     steps = step_results(spark, sf_dir).select("group_name", "cond")
     return runs.dry_run(steps, {"will_run": "coalesce(cond, true)"}, group="group_name")
+
+
+_STEP_LOG = """
+select user_id::varchar as run_id, concat('flow_', (user_id % 4)::varchar) as flow,
+       (row_number() over (partition by user_id order by ts, event_id) - 1)::int as cell_index,
+       event_type as status, round(value)::int as duration, concat('step ', event_id::varchar) as logs, props as outputs,
+       case when event_type = 'error' then concat('failed at ', event_id::varchar) end as error
+from events
+"""
+
+
+@query("step_log", _STEP_LOG)
+def q_step_log(spark, sf_dir):
+    """The step log of all runs as a saved table, appended for two sets of runs and read back."""
+    read_table(spark, sf_dir, "events").createOrReplaceTempView("_log_events")
+    text = _STEP_LOG.replace("from events", "from _log_events").replace("::varchar", "::string")
+    steps = spark.sql(text)
+    table = SavedTable(spark, scratch_dir(spark, "log") + "/steps")
+    for part in (0, 1):
+        runs.log_steps(table, steps.where(F.pmod(F.col("run_id").cast("bigint"), F.lit(2)) == part))
+    return table.read()

@@ -16,18 +16,25 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-# Schemas of input tables already read, by path. Inputs are immutable, and an
-# explicit schema spares every later read the footer-inference job.
-_SCHEMAS: dict[str, StructType] = {}
+# Schemas of input tables already read, by path and the time it was last written. An explicit
+# schema spares every later read the footer-inference job.
+_SCHEMAS: dict[tuple, StructType] = {}
+
+
+def _status(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop)
 
 
 def read_input(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet input that does not change while the session runs."""
-    schema = _SCHEMAS.get(path)
+    """A Parquet input, a file or a folder. Its schema is read again once the path was rewritten."""
+    status = _status(spark, path)
+    key = (path, status.getModificationTime(), status.getLen())
+    schema = _SCHEMAS.get(key)
     if schema is not None:
         return spark.read.schema(schema).parquet(path)
     df = spark.read.parquet(path)
-    _SCHEMAS[path] = df.schema
+    _SCHEMAS[key] = df.schema
     return df
 
 
@@ -45,8 +52,7 @@ def stream_parquet(spark: SparkSession, path: str, schema: StructType | None = N
 
     A file source lists folders only; a lone file is named by a pattern that matches nothing else."""
     schema = schema or spark.read.parquet(path).schema
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+    folder = _status(spark, path).isDirectory()
     return spark.readStream.schema(schema).options(**options).parquet(path if folder else f"{path[:-1]}[{path[-1]}]")
 
 
