@@ -319,6 +319,16 @@ def test_fuzzy_recall(spark, rate):
     assert len(hit) >= 0.9 * len(need)
 
 
+def test_skipping_hopeless_chains_loses_no_passage(docs, monkeypatch):
+    want = sorted(map(tuple, substring_dedup.passages(docs).collect()))
+    monkeypatch.setattr(substring_dedup, "_hopeful", _all_chains)
+    assert sorted(map(tuple, substring_dedup.passages(docs).collect())) == want and want
+
+
+def _all_chains(ha, wa, hb, wb, row, *ends):
+    return np.ones(len(row), bool)
+
+
 def test_chains_equal_trying_all_predecessors():
     """The tree finds chains of nearly the score of a scan of all fragments in reach: it may miss steps that overlap
     in the earlier text only."""
