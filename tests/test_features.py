@@ -7,12 +7,16 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from weft.functions.scalar import safe_int_json
 from weft.operators import intervals, ledger, runs, sessions, sketches, sync
+from weft.plans.registry import QUERIES, load_all
 from weft.sources import arrow_files
-from weft.sources.files import stream_parquet
+from weft.sources.files import TABLE_NAMES, stream_parquet
 from weft.streaming import run_state, streams
 from weft.tables import SavedTable
 
+load_all()
+
 
 # ---- merges and the ledger
 
@@ -250,3 +254,19 @@ def test_streams_read_files_and_folders(spark, tmp_path):
         out = str(tmp_path / f"out{least}")
         streams.run_to_parquet(stream_parquet(spark, str(path)), out, out + "-c")
         assert spark.read.parquet(out).count() == spark.read.parquet(str(path)).count() >= least
+
+
+# ---- results past the limits of a type or a setting
+
+def _orders_copy(spark, folder, keys):
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey bigint").write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
+def test_safe_integers_past_64_bits(spark, tmp_path):
+    keys = [0, 900, 901, 922337, 922338, 9_000_000, -922338, None]
+    got = QUERIES["safe_int_json"](spark, _orders_copy(spark, tmp_path, keys)).collect()
+    assert {r.o_orderkey: r.json for r in got} == {
+        k: "null" if k is None else str(k * 10**13) if abs(k * 10**13) < 2**53 else f'"{k * 10**13}"' for k in keys}
+    least = spark.sql("select -9223372036854775808 as v").select(safe_int_json("v")).first()[0]
+    assert least == '"-9223372036854775808"'

@@ -30,9 +30,9 @@ def html_escape(c) -> Column:
 
 
 def safe_int_json(c) -> Column:
-    """JSON text of a 64-bit integer: a number while exactly representable, else a string."""
+    """JSON text of a whole number (also a decimal past 64 bits): a number while exactly representable, else a string."""
     v = _c(c)
-    return F.when(v.isNull(), F.lit("null")).when(F.abs(v) <= MAX_SAFE_INTEGER, v.cast("string")) \
+    return F.when(v.isNull(), F.lit("null")).when(v.between(-MAX_SAFE_INTEGER, MAX_SAFE_INTEGER), v.cast("string")) \
         .otherwise(F.concat(F.lit('"'), v.cast("string"), F.lit('"')))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from weft import catalog
@@ -90,7 +92,8 @@ from orders
 """)
 def q_safe_int_json(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", safe_int_json(F.col("o_orderkey") * 10000000000000).alias("json"))
+    number = F.col("o_orderkey").cast("decimal(19,0)") * F.lit(Decimal(10000000000000))  # passes 64 bits from key 922,338 on
+    return o.select("o_orderkey", safe_int_json(number).alias("json"))
 
 
 @query("chart_data_path", """
