@@ -270,3 +270,15 @@ def test_safe_integers_past_64_bits(spark, tmp_path):
         k: "null" if k is None else str(k * 10**13) if abs(k * 10**13) < 2**53 else f'"{k * 10**13}"' for k in keys}
     least = spark.sql("select -9223372036854775808 as v").select(safe_int_json("v")).first()[0]
     assert least == '"-9223372036854775808"'
+
+
+def test_recursion_over_more_than_a_million_rows(spark, tmp_path):
+    folder, n = tmp_path / "lines", 1_050_000
+    lines = spark.range(n).selectExpr("id as l_orderkey", "1 as l_linenumber").unionByName(
+        spark.range(3).selectExpr("id as l_orderkey", "2 as l_linenumber"))
+    lines.write.parquet(f"{folder}/lineitem.parquet")
+    for name in TABLE_NAMES:
+        if name != "lineitem":
+            spark.range(1).write.parquet(f"{folder}/{name}.parquet")
+    got = QUERIES["sql_recursive"](spark, str(folder)).groupBy("chain_len").count().collect()
+    assert sorted(map(tuple, got)) == [(1, n - 3), (2, 3)]

@@ -12,10 +12,13 @@ from weft import catalog
 from weft.plans.registry import query
 
 
-def sql(name: str, spark_text: str, duck_text: str | None = None, args: dict | None = None):
-    """Register a Spark SQL query; the oracle is ``duck_text`` or the same text."""
+def sql(name: str, spark_text: str, duck_text: str | None = None, args: dict | None = None, conf: dict | None = None):
+    """Register a Spark SQL query; the oracle is ``duck_text`` or the same text. ``conf`` is read when the query
+    runs, so it stays set in the session."""
     def run(spark, sf_dir):
         catalog.register_tables(spark, sf_dir)
+        for key, value in (conf or {}).items():
+            spark.conf.set(key, value)
         return spark.sql(spark_text, args=args) if args else spark.sql(spark_text)
     run.__name__ = f"q_{name}"
     run.__doc__ = spark_text
@@ -81,7 +84,8 @@ with recursive chain(l_orderkey, n) as (
   select c.l_orderkey, c.n + 1 from chain c
   where exists (select 1 from lineitem l where l.l_orderkey = c.l_orderkey and l.l_linenumber = c.n + 1)
 )
-select l_orderkey, max(n) as chain_len from chain group by l_orderkey""")
+select l_orderkey, max(n) as chain_len from chain group by l_orderkey""",
+    conf={"spark.sql.cteRecursionRowLimit": "-1"})  # by default a recursion fails at a million rows
 
 sql("sql_subqueries", """
 select c_custkey, c_name,
