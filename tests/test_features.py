@@ -282,3 +282,35 @@ def test_recursion_over_more_than_a_million_rows(spark, tmp_path):
             spark.range(1).write.parquet(f"{folder}/{name}.parquet")
     got = QUERIES["sql_recursive"](spark, str(folder)).groupBy("chain_len").count().collect()
     assert sorted(map(tuple, got)) == [(1, n - 3), (2, 3)]
+
+
+def test_runs_of_many_keys_share_few_state_calls(spark, tmp_path, monkeypatch):
+    rng, start = random.Random(5), dt.datetime(2024, 1, 1)
+    rows = [(k, start + dt.timedelta(seconds=rng.randrange(8 * 3600)), rng.randrange(400), rng.choice("abc"), 0.0)
+            for k in range(3000)]
+    rows.sort(key=lambda r: r[1])
+    monkeypatch.setattr(run_state, "BUCKETS", 8)
+    folder, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "c"))
+    calls = spark.sparkContext.accumulator(0)
+    inner = run_state.RunProcessor.handleInputRows
+
+    def counted(self, key, chunk, timers):
+        calls.add(1)
+        return inner(self, key, chunk, timers)
+
+    monkeypatch.setattr(run_state.RunProcessor, "handleInputRows", counted)
+    _event_files(spark, folder, [rows[:1500], rows[1500:]])
+    events = streams.with_event_time(streams.file_stream(spark, folder, EVENTS, max_files=1))
+    run_state.close_runs(events, "user_id", "ts", "event_id", "event_type", out, ckpt, "30 minutes", "1 minute")
+    want, last = [], rows[-1][1]
+    for user in {r[2] for r in rows}:
+        run = []
+        for r in sorted((r for r in rows if r[2] == user), key=lambda r: (r[1], r[0])) + [None]:
+            if run and (r is None or r[1] - run[-1][1] >= dt.timedelta(minutes=30)):
+                over = run[-1][1] + dt.timedelta(minutes=31) <= last
+                want.append((user, run[0][1], run[-1][1], len(run), run[-1][0], run[-1][3], "closed" if over else "open"))
+                run = []
+            run.append(r)
+    got = [tuple(r) for r in run_state.read_runs(spark, out, ckpt, "user_id").collect()]
+    assert sorted(got) == sorted(want)
+    assert calls.value <= 16  # a call per bucket and batch, not per key
