@@ -32,6 +32,13 @@ def test_a_repeated_source_key_fails_or_the_newest_wins(spark):
     assert sorted(map(tuple, got)) == [(1, "a"), (2, "y")]
 
 
+def test_the_check_for_repeated_keys_holds_no_table_of_keys(spark):
+    target, source = (spark.range(n).selectExpr("id as k", "'x' as v") for n in (100, 50))
+    merged = sync.upsert(target, source, ["k"])
+    assert "HashAggregate" not in merged._jdf.queryExecution().executedPlan().toString()
+    assert merged.count() == 100
+
+
 def test_ledger_outcomes_and_reruns(spark, tmp_path):
     target = SavedTable(spark, str(tmp_path / "t"))
     target.create(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"))

@@ -75,7 +75,8 @@ def sync(source: DataFrame, target: SavedTable, ledger: SavedTable, keys, mode:
     if outcomes.isEmpty():
         return outcomes.select(F.lit(run).alias("run"), "_batch", "record_key", "payload_hash",
                                F.lit(operation).alias("operation"), "ok", "message")
-    good = outcomes.where("ok").select("_new.*").dropDuplicates(keys)
+    n = int(target.spark.conf.get("spark.sql.shuffle.partitions"))  # not fewer: where only the keys are read they are small
+    good = outcomes.where("ok").select("_new.*").repartition(n, *keys).dropDuplicates(keys)
     if mode == "delete":
         target.overwrite(merges.delete(there, good, keys))
     else:

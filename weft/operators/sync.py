@@ -87,11 +87,14 @@ def fill_keys(df: DataFrame, key: str, natural) -> DataFrame:
 
 def one_per_key(source: DataFrame, keys, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The newest source row per key by ``order``; without an order the source as it is, and a frame without
-    rows of its shape that fails when it runs if a key occurs twice (a count of the keys alone)."""
+    rows of its shape that fails when it runs if a key occurs twice (the keys alone, sorted and counted run by run:
+    a hash table of all keys takes more memory)."""
     keys = list(keys)
     if order is not None:
         return dedupe_latest(source, keys, order).select(*source.columns), source.limit(0)
-    counts = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # Keys alone are so small that adaptive execution would put millions of them into one task.
+    n = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = source.select(*keys).repartition(n, *keys).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     said = F.raise_error(F.concat(F.lit(f"source key {','.join(keys)} occurs more than once: "), key_text(*keys)))
     twice = F.when(F.col("_n") > 1, said.cast("string"))  # one expression, so that only such keys reach the error
     none = [F.col(c) if c in keys else F.lit(None).cast(source.schema[c].dataType).alias(c) for c in source.columns]
