@@ -157,7 +157,7 @@ def q_rebuild_nested(spark, sf_dir):
     write job, and without the saved input every one of them would rebuild the
     documents (two joins, two shuffles) again."""
     docs = catalog.save(nested_customers(spark, sf_dir), "cust_docs", scratch_dir(spark, "docs"))
-    parts = _saved(shred(docs, "cust", key_cols=["c_custkey"]), spark)
+    parts = _saved(shred(docs, "cust", key_cols=["c_custkey"], root_ids=True), spark)
     return rebuilt_summary(rebuild(parts))
 
 
