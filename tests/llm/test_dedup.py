@@ -397,6 +397,18 @@ def test_every_copy_in_a_text_is_found(spark):
         assert not got[1] and len(found) < 20
 
 
+def test_a_periodic_text_has_no_passage_inside_another(spark):
+    """Every place of a short period matches the earlier text; the longest passages tell all their words."""
+    rng = random.Random(6)
+    own = lambda k: [f"p{rng.randrange(10**9)}" for _ in range(k)]
+    line = own(2) * 150
+    rows = [(1, " ".join(own(30) + line)), (2, " ".join(own(40) + line + own(20))), (3, " ".join(line[:200] + own(50)))]
+    found = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert covered(found, [2, 3]) == {2: set(range(40, 340)), 3: set(range(200))}
+    assert not [(p, q) for p in found for q in found if p != q and p[:2] == q[:2] and q.start <= p.start and p.end <= q.end]
+    assert len(found) <= 6
+
+
 def test_removal_keeps_columns_and_clean_texts(docs, rows):
     left = substring_dedup.remove_passages(docs)
     assert left.columns == docs.columns
