@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from weft.llm import near_dedup, substring_dedup, suffix_dedup
+from weft.llm import holders, near_dedup, substring_dedup, suffix_dedup
 from weft.llm import text as T
 from weft.llm.graph import components
 
@@ -409,6 +409,97 @@ def test_a_periodic_text_has_no_passage_inside_another(spark):
     assert len(found) <= 6
 
 
+def middle_holders(cases, edits=0, shifted=False):
+    """Rows, and the places of 60-word passages in later documents. Of each passage one earlier document holds the whole, and
+    every part of 26 words stands in documents before and after that one: it is no seed's first holder and no seed's last."""
+    rng = random.Random(cases + edits)
+    own = lambda k: [f"m{rng.randrange(10**9)}" for _ in range(k)]
+    rows, need = [], {}
+    for n in range(0, 1000 * cases, 1000):
+        whole = own(60)
+        copy = list(whole)
+        for at in rng.sample(range(60), edits):
+            copy[at] = own(1)[0]
+        if shifted:
+            del copy[30]
+            copy.insert(45, own(1)[0])
+        for k, at in enumerate(range(0, 60, 10)):
+            for first in (0, 10, 500, 510):
+                part = (whole if first % 100 else copy)[at:at + 26]
+                rows.append((n + first + k, " ".join(own(9) + part + own(9))))
+        rows += [(n + 100, " ".join(own(15) + whole + own(15))), (n + 900, " ".join(own(12) + copy + own(12)))]
+        need[n + 900] = set(range(12, 72))
+    return rows, need
+
+
+@pytest.mark.parametrize("edits, shifted", [(0, False), (5, False), (3, True)])
+def test_every_earlier_holder_counts(spark, edits, shifted):
+    rows, need = middle_holders(12, edits, shifted)
+    results = []
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        results.append(sorted(map(tuple, substring_dedup.passages(df).collect())))
+    assert results[0] == results[1]
+    assert {r[:2] for r in results[0]} == {(i, i - 800) for i in need}
+    words = {i: t.split() for i, t in rows}
+    got = {i: set() for i in need}
+    for i, src, start, end, src_start, src_end, equal in results[0]:
+        a, b = words[i][start:end], words[src][src_start:src_end]
+        assert min(len(a), len(b)) >= substring_dedup.MIN_WORDS
+        assert common(a, b) >= equal >= substring_dedup.MIN_IDENTITY * max(len(a), len(b))
+        got[i].update(range(start, end))
+    for i in need:
+        assert len(need[i] - got[i]) <= 3 * (edits > 0)  # edited words at the end belong to no passage
+
+
+def test_no_word_of_a_pair_of_documents_is_missed(spark):
+    """Documents made of shared parts of all lengths, many of them phrases that most documents hold: what trying all pairs
+    of documents covers is covered."""
+    rng = random.Random(12)
+    phrases = [[f"p{n}w{k}" for k in range(rng.choice((8, 12, 20, 30, 45, 60)))] for n in range(25)] + [["la"] * 30, ["no", "yes"] * 15]
+    words = {}
+    for i in range(160):
+        w = []
+        while len(w) < 250:
+            part = list(rng.choice(phrases))
+            cut = rng.randrange(len(part)) if rng.random() < 0.3 else 0
+            w += [f"x{rng.randrange(10**9)}" if rng.random() < 0.04 else v for v in part[cut:]]
+            w += [f"x{rng.randrange(10**9)}" for _ in range(rng.choice((0, 0, 3, 20)))]
+        words[i] = w
+    ids = {}
+    coded = {i: np.array([T.mix_int(ids.setdefault(v, len(ids))) & 0xFFFFFFFF for v in w], np.uint64) for i, w in words.items()}
+    rows = [(i, " ".join(w)) for i, w in words.items()]
+    found = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = covered(found, words)
+    want = {i: set() for i in words}
+    for i in range(0, 160, 8):
+        for j in range(i):
+            for x0, x1, *_ in substring_dedup.repeats(coded[i], coded[j]):
+                want[i].update(range(x0, x1))
+    missed = {i: len(w - got[i]) for i, w in want.items() if w - got[i]}
+    print("covered by all pairs", sum(map(len, want.values())), "missed", missed)
+    assert max(missed.values(), default=0) < substring_dedup.K  # words next to a passage that hold no whole seed
+
+
+def test_extents_equal_trying_all():
+    rng = np.random.default_rng(5)
+    k, least, share, around = substring_dedup.K, substring_dedup.MIN_WORDS, substring_dedup.MIN_IDENTITY, holders.AROUND
+    same = rng.random((60, 2 * around + k)) < rng.choice([0.6, 0.8, 0.9], (60, 1))
+    same[:, around:around + k] = True
+    got = [dict(zip(p.tolist(), zip(a.tolist(), b.tolist()))) for p, a, b in holders._extents(same, k, least, share)]
+    some = 0
+    for n, row in enumerate(same):
+        total = np.append(0, np.cumsum(row))
+        good = [(a, b) for a in range(around + 1) for b in range(around + 1) if a + b + k >= least
+                and total[around + k + b] - total[around - a] >= share * (a + b + k) - 1e-9
+                and (a == 0 or row[around - a]) and (b == 0 or row[around + k + b - 1])]
+        assert (n in got[0]) == (n in got[1]) == bool(good)
+        if good:
+            some += 1
+            assert got[0][n] == max(good) and got[1][n][::-1] == max((b, a) for a, b in good)
+    assert 10 < some
+
+
 def test_removal_keeps_columns_and_clean_texts(docs, rows):
     left = substring_dedup.remove_passages(docs)
     assert left.columns == docs.columns

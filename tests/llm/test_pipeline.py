@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_dedup import brute_components
+from tests.llm.test_dedup import brute_components, middle_holders
 from weft.llm import decontam, quality, registry, substring_dedup
 from weft.sources.files import read_table
 
@@ -78,3 +78,12 @@ def test_stages_keep_nulls_clashing_columns_and_empty_tables(spark, docs, empty,
     out = stage(spark, docs, SF)
     assert out.columns == docs.columns and 0 < out.count() <= docs.count()
     assert stage(spark, empty, SF).collect() == []
+
+
+def test_passages_of_a_middle_holder_go(spark):
+    """A passage goes whichever earlier document holds it."""
+    rows, need = middle_holders(6)
+    stage = dict(corpus_pipeline.STAGES)["repeated_passages"]
+    left = {r.doc_id: r.text.split() for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    for i, text in rows:
+        assert left[i] == [w for k, w in enumerate(text.split()) if k not in need.get(i, ())]
